@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scenes"]
+MODULES = ["scenes", "ledger_queries"]
 
 
 def _collect(attribute: str) -> dict:
