@@ -1,56 +1,49 @@
 """Ordered operators that stay balanced when one key holds a large share of the rows.
 
 A key's rows are cut into blocks that follow the order; each block is handled on its own and the blocks
-are stitched with one summary row per block.
+are stitched with one summary row per block. Keys must not be null.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _blocked(df: DataFrame, keys: list[str], block: Column, order: list[str]):
-    marked = df.withColumn("blk_", block)
-    return marked, Window.partitionBy(*keys, "blk_").orderBy(*order)
+def _blocked(df: DataFrame, keys: list[str], block: Column | str, order: list[str]):
+    """`block` names an existing column, so several operators can share one partitioning, or gives a new one."""
+    marked = df if isinstance(block, str) else df.withColumn("blk_", block)
+    name = block if isinstance(block, str) else "blk_"
+    return marked, name, Window.partitionBy(*keys, name).orderBy(*order)
 
 
-def _same(left: str, right: str, names: list[str]) -> Column:
-    cond = F.lit(True)
-    for name in names:
-        cond = cond & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
-    return cond
-
-
-def blocked_lag(df: DataFrame, keys: list[str], block: Column, order: list[str], values: list[str], out: str = "prev") -> DataFrame:
+def blocked_lag(df: DataFrame, keys: list[str], block: Column | str, order: list[str], values: list[str], out: str = "prev") -> DataFrame:
     """Add struct `out` with the values of the preceding row of the key; null on the first row."""
-    marked, window = _blocked(df, keys, block, order)
+    marked, blk, window = _blocked(df, keys, block, order)
     local = marked.withColumn("lag_", F.lag(F.struct(*values)).over(window))
     tails = (
-        marked.groupBy(*keys, "blk_")
+        marked.groupBy(*keys, blk)
         .agg(F.max(F.struct(F.struct(*order).alias("o"), F.struct(*values).alias("v"))).alias("tail_"))
-        .withColumn("carry_", F.lag("tail_.v").over(Window.partitionBy(*keys).orderBy("blk_")))
+        .withColumn("carry_", F.lag("tail_.v").over(Window.partitionBy(*keys).orderBy(blk)))
         .filter("carry_ IS NOT NULL")
-        .select(*keys, "blk_", "carry_")
+        .select(*keys, blk, "carry_")
     )
-    joined = local.alias("l").join(tails.alias("t"), _same("l", "t", keys + ["blk_"]), "left")
-    kept = [F.col(f"l.{c}").alias(c) for c in df.columns]
-    return joined.select(*kept, F.coalesce("l.lag_", "t.carry_").alias(out))
+    joined = local.join(tails, keys + [blk], "left")
+    return joined.select(*df.columns, F.coalesce("lag_", "carry_").alias(out))
 
 
-def blocked_row_number(df: DataFrame, keys: list[str], block: Column, order: list[str], out: str) -> DataFrame:
+def blocked_row_number(df: DataFrame, keys: list[str], block: Column | str, order: list[str], out: str) -> DataFrame:
     """Add the 1-based position of each row within its key."""
     return blocked_running_sum(df.withColumn("one_", F.lit(1).cast("long")), keys, block, order, "one_", out).drop("one_")
 
 
-def blocked_running_sum(df: DataFrame, keys: list[str], block: Column, order: list[str], value: str, out: str) -> DataFrame:
+def blocked_running_sum(df: DataFrame, keys: list[str], block: Column | str, order: list[str], value: str, out: str) -> DataFrame:
     """Add the running sum of `value` within each key; the order must be unique."""
-    marked, window = _blocked(df, keys, block, order)
+    marked, blk, window = _blocked(df, keys, block, order)
     local = marked.withColumn("run_", F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    before = Window.partitionBy(*keys).orderBy("blk_").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        marked.groupBy(*keys, "blk_").agg(F.sum(value).alias("part_"))
+        marked.groupBy(*keys, blk).agg(F.sum(value).alias("part_"))
         .withColumn("offset_", F.sum("part_").over(before))
         .filter("offset_ IS NOT NULL")
-        .select(*keys, "blk_", "offset_")
+        .select(*keys, blk, "offset_")
     )
-    joined = local.alias("l").join(offsets.alias("t"), _same("l", "t", keys + ["blk_"]), "left")
-    kept = [F.col(f"l.{c}").alias(c) for c in df.columns]
-    return joined.select(*kept, (F.col("l.run_") + F.coalesce("t.offset_", F.lit(0))).alias(out))
+    joined = local.join(offsets, keys + [blk], "left")
+    return joined.select(*df.columns, (F.col("run_") + F.coalesce("offset_", F.lit(0))).alias(out))

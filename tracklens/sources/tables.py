@@ -117,3 +117,53 @@ def prediction_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("CAST(l_partkey % 70 AS DOUBLE) / CAST(10 AS DOUBLE)").alias("count_a"),
         F.expr("CAST(l_suppkey % 25 AS DOUBLE)").alias("max_report_age_s"),
     ).withColumn("count_b", F.greatest(F.lit(0.0), F.col("raw_b"))).drop("raw_b")
+
+
+def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as audited rows: many rows per aircraft and time, states that persist, several source files."""
+    items = load(spark, folder, "lineitem")
+    return items.select(
+        F.expr("concat('AP', l_suppkey % 2)").alias("airport_id"),
+        F.expr("concat('A', l_suppkey)").alias("aircraft_id"),
+        epoch_us("l_shipdate").alias("timestamp_us"),
+        F.expr("concat('S', l_partkey % 3)").alias("source_file_id"),
+        F.expr("l_partkey % 3").alias("source_sequence"),
+        F.expr("CAST(l_shipdate AS STRING)").alias("day"),
+        F.col("l_orderkey").alias("r1"), F.col("l_linenumber").cast("long").alias("r2"), F.col("l_partkey").alias("r3"),
+        F.col("l_quantity").alias("r4"), F.col("l_extendedprice").alias("r5"),
+        F.expr("CAST(l_orderkey % 2 AS DOUBLE)").alias("lat"), F.lit(0.0).alias("lon"),
+        F.expr("CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(100 AS DOUBLE) END").alias("altitude"),
+        F.lit(5.0).alias("speed"), F.expr("CAST(l_orderkey % 2 AS DOUBLE)").alias("heading"),
+        F.expr("CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_partkey % 80 - 10 AS DOUBLE) END").alias("age"),
+    )
+
+
+AUDIT_ORDER = ["source_sequence", "source_file_id", "r1", "r2", "r3", "r4", "r5"]
+
+
+def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as audited files: one order is one file."""
+    orders = load(spark, folder, "orders")
+    key = "o_orderkey"
+    base = orders.select(
+        F.col(key).alias("k"), F.expr("concat('ap', o_custkey % 2)").alias("airport_id"),
+        F.expr(f"CASE WHEN {key} % 10 < 8 THEN '.csv' WHEN {key} % 10 = 8 THEN '.zip' ELSE '.txt' END").alias("extension"),
+        F.date_format("o_orderdate", "yyyy").alias("year"), F.date_format("o_orderdate", "MM-dd-yy").alias("date_directory"),
+        F.expr(f"concat('Log_', {key} % 137)").alias("stem"),
+        F.expr(f"CASE WHEN {key} % 41 = 0 THEN 0 ELSE {key} * 7919 % 100000 END").alias("size_bytes"),
+        F.expr(f"CASE WHEN {key} % 997 = 0 THEN NULL ELSE sha2(CAST({key} % 5000 AS STRING), 256) END").alias("sha256"),
+        F.expr(f"concat('C', {key} % 10)").alias("crc32"),
+        F.expr(f"{key} % 503 <> 0").alias("readable"), F.expr(f"{key} % 211 <> 0").alias("strict_parse_ok"),
+        F.expr(f"CASE WHEN {key} % 422 = 0 THEN 'UnicodeDecodeError' END").alias("decode_error"),
+        F.expr(f"{key} % 41 = 0").alias("is_empty"), F.expr(f"{key} % 43 = 0").alias("header_only"),
+        F.expr(f"CASE WHEN {key} % 13 = 0 THEN {key} % 5 ELSE 0 END").alias("blank_row_count"),
+        F.expr(f"CASE WHEN {key} % 17 = 0 THEN 1 ELSE 0 END").cast("long").alias("column_mismatch_count"),
+        F.expr(f"{key} % 3 <> 0").alias("ends_with_newline"),
+        F.expr(f"CASE {key} % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'mismatch' ELSE 'not_assessable' END").alias("date_status"),
+        F.expr(f"{key} % 7 <> 0").alias("zip_valid"), F.expr(f"{key} % 1009 = 0").alias("is_symlink"),
+        F.expr("CASE WHEN o_custkey % 3 = 0 THEN array('ID', 'Time', 'Date') ELSE array('ID', 'Time', 'Date', 'AltisGNSS') END").alias("header"),
+        F.expr(f"CASE {key} % 9 WHEN 0 THEN 'exclude_non_data_file' WHEN 1 THEN 'exclude_source_corrupt_file' WHEN 2 THEN 'drop_terminal_record' ELSE 'include' END").alias("disposition"),
+    )
+    return base.withColumn("filename", F.concat("stem", "extension")).withColumn(
+        "relative_path", F.concat_ws("/", "year", "date_directory", F.concat(F.col("k").cast("string"), F.lit("_"), F.col("filename")))
+    ).withColumn("audit_type", F.expr("CASE extension WHEN '.csv' THEN 'csv' WHEN '.zip' THEN 'zip' ELSE 'binary' END"))
