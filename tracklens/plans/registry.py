@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scenes", "ledger_queries", "parse_queries", "feature_queries", "audit_queries", "selection_queries"]
+MODULES = ["scenes", "ledger_queries", "parse_queries", "feature_queries", "audit_queries", "selection_queries", "evaluation_queries"]
 
 
 def _collect(attribute: str) -> dict:
