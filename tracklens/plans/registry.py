@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-MODULES = ["scenes", "ledger_queries", "parse_queries", "feature_queries", "audit_queries", "selection_queries", "evaluation_queries"]
+MODULES = [
+    "scenes", "ledger_queries", "parse_queries", "feature_queries", "audit_queries", "selection_queries",
+    "evaluation_queries", "model_queries", "file_queries", "stream_queries",
+]
 
 
 def _collect(attribute: str) -> dict:

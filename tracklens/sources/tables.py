@@ -15,7 +15,11 @@ def epoch_us(column: str):
 
 def event_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Events as position reports; integer arithmetic first, so any engine gets the same doubles."""
-    events = load(spark, folder, "events")
+    return as_reports(load(spark, folder, "events"))
+
+
+def as_reports(events: DataFrame) -> DataFrame:
+    """The report view of event rows, batch or stream."""
     return events.select(
         F.lit("AP1").alias("airport_id"),
         F.concat(F.lit("S"), (F.col("event_id") % 3).cast("string")).alias("source_file_id"),
