@@ -42,23 +42,36 @@ def near_pairs(
     rad = F.col(radius) if isinstance(radius, str) else F.lit(float(radius))
     extra = [radius] if isinstance(radius, str) else []
     based = points.select(*keys, id_col, "lat_deg", "lon_deg", *extra, *payload)
-    based = based.withColumn("w_", _band_width(rad))
-    based = based.withColumn("band_", F.floor((F.col("lat_deg") + 90.0) / F.col("w_")))
-    based = based.withColumn("n_", _cells_in_band(F.col("band_"), F.col("w_"), rad))
-    based = based.withColumn("cell_", _cell(F.col("lon_deg"), F.col("n_")))
-    home = based.drop("w_", "n_").alias("q")
+    # Trigonometry that belongs to one point is done once per point, not once per pair.
+    based = based.withColumns({
+        "lat_r": F.radians("lat_deg"), "lon_r": F.radians("lon_deg"), "cos_lat": F.cos(F.radians("lat_deg")), "w_": _band_width(rad),
+    })
+    # Declaring the cells non-null keeps the join from adding null filters, which would be pushed below
+    # these steps with all their trigonometry copied into them.
+    known = lambda c: F.coalesce(c, F.lit(-1).cast("long"))
+    based = based.withColumn("band_", known(F.floor((F.col("lat_deg") + 90.0) / F.col("w_"))))
+    based = based.withColumn("n_", known(_cells_in_band(F.col("band_"), F.col("w_"), rad)))
+    based = based.withColumn("cell_", known(_cell(F.col("lon_deg"), F.col("n_"))))
+    # One 64-bit key decides nearly every comparison of the join; the columns behind it keep it exact.
+    home = based.withColumn("key_", F.xxhash64(*keys, "band_", "cell_")).drop("w_", "n_", "lat_deg", "lon_deg", *extra).alias("q")
     up = F.col("band_") + 1
-    probe = based.withColumn("m_", _cells_in_band(up, F.col("w_"), rad))
-    probe = probe.withColumn("e_", _cell(F.col("lon_deg"), F.col("m_")))
-    targets = F.array_distinct(F.array(
-        F.struct(F.col("band_").alias("b"), F.col("cell_").alias("c")),
-        F.struct(F.col("band_").alias("b"), F.pmod(F.col("cell_") + 1, F.col("n_")).alias("c")),
-        F.struct(up.alias("b"), F.pmod(F.col("e_") - 1, F.col("m_")).alias("c")),
-        F.struct(up.alias("b"), F.col("e_").alias("c")),
-        F.struct(up.alias("b"), F.pmod(F.col("e_") + 1, F.col("m_")).alias("c")),
-    ))
-    probe = probe.withColumn("t_", F.explode(targets)).drop("w_", "n_", "m_", "e_").alias("p")
-    match = (F.col("p.t_.b") == F.col("q.band_")) & (F.col("p.t_.c") == F.col("q.cell_"))
+    probe = based.withColumn("m_", known(_cells_in_band(up, F.col("w_"), rad)))
+    probe = probe.withColumn("e_", known(_cell(F.col("lon_deg"), F.col("m_"))))
+    def cell(band: Column, index: Column) -> Column:
+        return F.struct(band.alias("b"), index.alias("c"))
+
+    # A band with a single cell has no side neighbours; the join drops the empty slots.
+    wide, wide_up = F.col("n_") > 1, F.col("m_") > 1
+    targets = F.array(
+        cell(F.col("band_"), F.col("cell_")),
+        F.when(wide, cell(F.col("band_"), F.pmod(F.col("cell_") + 1, F.col("n_")))),
+        F.when(wide_up, cell(up, F.pmod(F.col("e_") - 1, F.col("m_")))),
+        cell(up, F.col("e_")),
+        F.when(wide_up, cell(up, F.pmod(F.col("e_") + 1, F.col("m_")))),
+    )
+    probe = probe.withColumn("t_", F.explode(targets)).filter("t_ IS NOT NULL").drop("w_", "n_", "m_", "e_", "lat_deg", "lon_deg", *extra)
+    probe = probe.withColumn("key_", F.xxhash64(*keys, "t_.b", "t_.c")).alias("p")
+    match = (F.col("p.key_") == F.col("q.key_")) & (F.col("p.t_.b") == F.col("q.band_")) & (F.col("p.t_.c") == F.col("q.cell_"))
     for key in keys:
         match = match & (F.col(f"p.{key}") == F.col(f"q.{key}"))
     same_cell = (F.col("p.band_") == F.col("q.band_")) & (F.col("p.cell_") == F.col("q.cell_"))
@@ -74,12 +87,24 @@ def near_pairs(
 
 
 def pair_term() -> Column:
-    return geo.haversine_term(F.col("p.lat_deg"), F.col("p.lon_deg"), F.col("q.lat_deg"), F.col("q.lon_deg"))
+    """Squared half-chord between the two sides."""
+    half_lat = (F.col("q.lat_r") - F.col("p.lat_r")) / 2
+    half_lon = (F.col("q.lon_r") - F.col("p.lon_r")) / 2
+    s_lat, s_lon = F.sin(half_lat), F.sin(half_lon)
+    return s_lat * s_lat + F.col("p.cos_lat") * F.col("q.cos_lat") * s_lon * s_lon
+
+
+def term_distance(term: Column) -> Column:
+    return F.lit(2.0 * K.EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(term)))
 
 
 def within(radius_m: float) -> Column:
-    """Great-circle distance strictly below the radius, without the square root and arc sine."""
-    return pair_term() < F.lit(math.sin(radius_m / (2 * K.EARTH_RADIUS_M)) ** 2)
+    """Great-circle distance strictly below the radius, without the square root and arc sine.
+
+    The latitude difference alone rejects most far pairs before any sine is taken.
+    """
+    near_lat = F.abs(F.col("q.lat_r") - F.col("p.lat_r")) < F.lit(radius_m / K.EARTH_RADIUS_M * 1.000001)
+    return near_lat & (pair_term() < F.lit(math.sin(radius_m / (2 * K.EARTH_RADIUS_M)) ** 2))
 
 
 def closest_gap(points: DataFrame, keys: list[str], value: str, out: str, bin_width: float) -> DataFrame:
@@ -129,10 +154,10 @@ def closest_pair(points: DataFrame, keys: list[str], out: str, band_deg: float =
     )
     bound = bands.groupBy(*keys).agg(F.min("d_").alias("bound_")).filter("bound_ IS NOT NULL")
     open_points = points.select(*keys, "aircraft_id", "lat_deg", "lon_deg").join(bound.filter("bound_ > 0"), keys)
-    distance = geo.haversine_m(F.col("p.lat_deg"), F.col("p.lon_deg"), F.col("q.lat_deg"), F.col("q.lon_deg"))
-    near = near_pairs(open_points, keys, "bound_", [], [distance.alias("d_")])
+    near = near_pairs(open_points, keys, "bound_", [], [pair_term().alias("t_")])
+    closest = near.groupBy(*keys).agg(F.min("t_").alias("t_")).select(*keys, term_distance(F.col("t_")).alias("d_"))
     return (
         bound.select(*keys, F.col("bound_").alias("d_"))
-        .unionByName(near.select(*keys, "d_"))
+        .unionByName(closest)
         .groupBy(*keys).agg(F.min("d_").alias(out))
     )
