@@ -3,8 +3,10 @@
 import csv
 import io
 import os
+import re
 import zipfile
 from collections import deque
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,16 +19,25 @@ DROP_TERMINAL = "drop_terminal_record"
 
 
 def file_contents(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """Files under each airport root with their bytes, one row per file."""
+    """Files under each airport root with their bytes, one row per file.
+
+    The scan skips zero-length files, so they are added from its own file index.
+    """
     prepare(spark)
-    parts = [
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
-            F.lit(airport.lower()).alias("airport_id"), "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_time"), "content",
-            F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + os.path.abspath(root) + "/?", "").alias("relative_path"),
-        ) for airport, root in sorted(roots.items())
-    ]
-    result = parts[0]
-    for part in parts[1:]:
+    found = []
+    for airport, root in sorted(roots.items()):
+        scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        listed = spark.createDataFrame([(unquote(f),) for f in scan.inputFiles()], "listed string")
+        path = lambda c: F.regexp_replace(c, "^file:/*", "/")
+        full = scan.select(path("path").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_time"), "content")
+        empty = listed.select(path("listed").alias("path")).join(full.select("path"), "path", "left_anti").select(
+            "path", F.lit(0).cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_time"), F.lit(b"").alias("content")
+        )
+        found.append(full.unionByName(empty).select(
+            F.lit(airport.lower()).alias("airport_id"), "*", F.regexp_replace("path", "^" + re.escape(os.path.abspath(root)) + "/?", "").alias("relative_path")
+        ))
+    result = found[0]
+    for part in found[1:]:
         result = result.unionByName(part)
     return result
 
