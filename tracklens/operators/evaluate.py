@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracklens import constants as K
 from tracklens.functions import stats as st
-from tracklens.operators.ordered import blocked_running_sum
+from tracklens.operators.ordered import blocked_running_sum, value_counts
 
 
 def ofat_settings(horizontal_nm, vertical_ft, primary_nm, primary_ft) -> list[tuple[str, float, float]]:
@@ -36,13 +36,9 @@ def prevalence(train: DataFrame, keys: list[str], label: str) -> DataFrame:
     return train.groupBy(*keys).agg(F.avg(label).alias("prevalence"))
 
 
-def higher_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """sorted[ceil((n-1) q)] from a histogram of distinct values, never from a list of rows."""
-    histogram = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
-    order = Window.partitionBy(*keys)
-    running = histogram.withColumn("c_", F.sum("n_").over(order.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "all_", F.sum("n_").over(order)
-    )
+def higher_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], block: Column | None = None) -> DataFrame:
+    """sorted[ceil((n-1) q)] from running counts of distinct values, never from a list of rows."""
+    running = value_counts(rows, keys, value, F.floor(F.col(value) / 256) if block is None else block)
     return running.groupBy(*keys).agg(*[
         F.min(F.when(F.col("c_") > F.ceil((F.col("all_") - 1) * F.lit(q)), F.col(value))).alias(n) for n, q in probabilities.items()
     ])
@@ -244,8 +240,7 @@ def monte_carlo_interval(deltas: DataFrame, keys: list[str], group: str, value:
 def exhaustive_interval(deltas: DataFrame, group: str, value: str, confidence: float = 0.95) -> DataFrame:
     """Every ordinary bootstrap sample of at most seven groups: the digits of 0 .. n^n - 1 are the draws."""
     spark = deltas.sparkSession
-    numbered = deltas.select(F.col(value).alias("v"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group)) - 1).alias("i"))
-    values = [r.v for r in numbered.orderBy("i").limit(8).collect()]
+    values = [r.v for r in deltas.select(group, F.col(value).alias("v")).orderBy(group).limit(8).collect()]
     n = len(values)
     if not 1 <= n <= 7:
         raise ValueError("exhaustive bootstrap needs one to seven groups")

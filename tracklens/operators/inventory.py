@@ -5,7 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracklens.functions import text
-from tracklens.operators.ordered import blocked_row_number
+from tracklens.operators.evaluate import one_row_join
+from tracklens.operators.ordered import blocked_row_number, exact_quantiles
 
 EXCLUDED = ("exclude_non_data_file", "exclude_source_corrupt_file")
 
@@ -35,8 +36,7 @@ def summarize_audit(manifest: DataFrame) -> DataFrame:
         manifest.filter("sha256 IS NOT NULL AND sha256 <> ''").groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         .agg(F.count(F.lit(1)).alias("duplicate_hash_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_file_count"))
     )
-    # Both sides are single-row aggregates.
-    return counts.crossJoin(F.broadcast(repeated))
+    return one_row_join(counts, repeated)
 
 
 def decide(summary: DataFrame) -> DataFrame:
@@ -75,11 +75,14 @@ def date_coverage(manifest: DataFrame) -> DataFrame:
 def size_distribution(manifest: DataFrame) -> DataFrame:
     """Size quantiles by airport and extension, linearly interpolated."""
     size = F.coalesce("size_bytes", F.lit(0))
-    return manifest.groupBy("airport_id", "extension").agg(
-        F.count(F.lit(1)).alias("file_count"), F.min(size).alias("min_bytes"),
-        *[F.percentile(size, p).alias(n) for n, p in (("p01_bytes", 0.01), ("p25_bytes", 0.25), ("median_bytes", 0.5), ("p75_bytes", 0.75), ("p99_bytes", 0.99))],
-        F.max(size).alias("max_bytes"), F.sum(size).alias("total_bytes"),
+    keys = ["airport_id", "extension"]
+    points = {"p01_bytes": 0.01, "p25_bytes": 0.25, "median_bytes": 0.5, "p75_bytes": 0.75, "p99_bytes": 0.99}
+    sized = manifest.select(*keys, size.alias("size"))
+    totals = sized.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("file_count"), F.min("size").alias("min_bytes"), F.max("size").alias("max_bytes"), F.sum("size").alias("total_bytes"),
     )
+    # Blocks double in width, so any range of sizes falls into a few dozen of them.
+    return totals.join(exact_quantiles(sized, keys, "size", points, F.floor(F.log2(F.col("size") + 1.0) * 8)), keys)
 
 
 def archive_comparison(archives: DataFrame, extracted: DataFrame) -> DataFrame:

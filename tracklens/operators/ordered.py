@@ -47,3 +47,42 @@ def blocked_running_sum(df: DataFrame, keys: list[str], block: Column | str, ord
     )
     joined = local.join(offsets, keys + [blk], "left")
     return joined.select(*df.columns, (F.col("run_") + F.coalesce("offset_", F.lit(0))).alias(out))
+
+
+def first_per_group(df: DataFrame, keys: list[str], order: list[str], limit: int, out: str = "rank", lanes: int = 64) -> DataFrame:
+    """The first `limit` rows of each key in a unique order, with their rank.
+
+    Each key is first cut down within hashed lanes, so a key with most of the rows reaches the final ranking
+    with at most lanes * limit of them.
+    """
+    lane = df.withColumn("lane_", F.pmod(F.xxhash64(*order), F.lit(lanes)))
+    local = Window.partitionBy(*keys, "lane_").orderBy(*order)
+    cut = lane.withColumn("pre_", F.row_number().over(local)).filter(F.col("pre_") <= limit).drop("pre_", "lane_")
+    return cut.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= limit)
+
+
+def value_counts(df: DataFrame, keys: list[str], value: str, block: Column) -> DataFrame:
+    """Distinct values of each key with their running count `c_` and the key's total `all_`.
+
+    Rows collapse to distinct values before anything is ordered, and those are ordered block by block.
+    """
+    histogram = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
+    running = blocked_running_sum(histogram, keys, block, [value], "n_", "c_")
+    totals = histogram.groupBy(*keys).agg(F.sum("n_").alias("all_"))
+    if keys:
+        return running.join(totals, keys)
+    return running.select("*", F.lit(1).alias("one_")).join(totals.select("*", F.lit(1).alias("one_")), "one_").drop("one_")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], block: Column) -> DataFrame:
+    """Linearly interpolated quantiles from running counts of distinct values."""
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("c_") > rank, F.col(value))).cast("double")
+
+    terms = []
+    for name, p in probabilities.items():
+        position = (F.col("all_") - 1) * F.lit(float(p))
+        weight = F.max(position - F.floor(position))
+        low, high = at(F.floor(position)), at(F.ceil(position))
+        terms.append((low + (high - low) * weight).alias(name))
+    return value_counts(df, keys, value, block).groupBy(*keys).agg(*terms)

@@ -1,6 +1,9 @@
 """Field profiles: mergeable counts, extremes, distinct estimates and quantiles per stratum and in total."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tracklens.operators.evaluate import one_row_join
+from tracklens.operators.ordered import first_per_group
 
 
 def field_profiles(rows: DataFrame, fields: list[str], strata: list[str], total_by: str, errors: str | None = None) -> DataFrame:
@@ -33,18 +36,18 @@ def profile_violations(profiles: DataFrame, total_by: str) -> DataFrame:
         F.sum(F.when(~F.col("is_total"), F.col("total"))).alias("strata_total"),
         F.max(F.when(F.col("is_total"), F.col("total"))).alias("whole_total"),
     )
-    return profiles.agg(
+    counts = profiles.agg(
         F.count_if(F.col("missing") + F.col("invalid") > F.col("total")).alias("category_overflow"),
         F.count_if(F.col("quantiles").isNotNull() & (F.array_sort("quantiles") != F.col("quantiles"))).alias("unordered_quantiles"),
         F.count_if(F.col("minimum") > F.col("maximum")).alias("inverted_extremes"),
-    ).crossJoin(F.broadcast(sums.agg(F.count_if(~F.col("strata_total").eqNullSafe(F.col("whole_total"))).alias("strata_mismatch"))))
+    )
+    return one_row_join(counts, sums.agg(F.count_if(~F.col("strata_total").eqNullSafe(F.col("whole_total"))).alias("strata_mismatch")))
 
 
 def bottom_hash_sample(rows: DataFrame, keys: list[str], identity: Column, value: str, capacity: int) -> DataFrame:
-    """Deterministic sample: the `capacity` rows with the smallest identity hash. The limit applies before the shuffle."""
+    """Deterministic sample: the `capacity` rows with the smallest identity hash."""
     hashed = rows.select(*keys, value, F.sha2(identity, 256).alias("priority")).filter(F.col(value).isNotNull())
-    rank = Window.partitionBy(*keys).orderBy("priority")
-    return hashed.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= capacity).drop("rank")
+    return first_per_group(hashed, keys, ["priority", value], capacity).drop("rank")
 
 
 def sample_quantiles(sample: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
@@ -62,7 +65,3 @@ def distinct_sketches(rows: DataFrame, keys: list[str], field: str, precision: i
 
 def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_estimate"))
-
-
-def linear_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    return rows.groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for n, p in probabilities.items()])

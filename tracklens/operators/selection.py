@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracklens.functions.hashing import prefix_mod, span_selected, stable_rank
-from tracklens.operators.ordered import blocked_running_sum
+from tracklens.operators.ordered import blocked_row_number, blocked_running_sum, first_per_group
 from tracklens.session import stage_table
 
 
@@ -12,8 +12,7 @@ def top_by_hash(rows: DataFrame, groups: list[str], identifier: str, cap: int, s
     if cap <= 0:
         raise ValueError("cap must be positive")
     ranked = rows.withColumn("hash_", stable_rank(salt, F.col(identifier)))
-    rank = Window.partitionBy(*groups).orderBy("hash_", identifier)
-    return ranked.withColumn("rank_", F.row_number().over(rank)).filter(F.col("rank_") <= cap).drop("hash_", "rank_")
+    return first_per_group(ranked, groups, ["hash_", identifier], cap, "rank_").drop("hash_", "rank_")
 
 
 def top_sources(sources: DataFrame, group: str, count: str, identifier: str, n: int, salt: str) -> DataFrame:
@@ -100,8 +99,12 @@ def systematic_midpoint(ordinal: Column, population: Column, quota: Column) -> C
 def group_splits(groups: DataFrame, within: list[str], identifier: str, salt: str) -> DataFrame:
     """60/20/20 split of whole groups by hash rank, optionally separately for each value of `within`."""
     distinct = groups.select(*within, identifier).distinct().withColumn("hash_", stable_rank(salt, F.concat_ws("\0", *within, identifier)))
-    scope = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    ranked = distinct.withColumn("n_", F.count(F.lit(1)).over(scope)).withColumn("i_", F.row_number().over(scope.orderBy("hash_", identifier)) - 1)
+    scope = within or ["all_"]
+    distinct = distinct.withColumn("all_", F.lit(0))
+    # Hash prefixes are blocks in hash order, so even a single scope is ranked in parallel.
+    numbered = blocked_row_number(distinct, scope, F.substring("hash_", 1, 2), ["hash_", identifier], "i_")
+    sizes = distinct.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_"))
+    ranked = numbered.join(sizes, scope).withColumn("i_", F.col("i_") - 1).drop("all_")
     train = F.greatest(F.lit(1), F.expr("n_ * 60 div 100"))
     validation = F.least(F.greatest(train + F.when(F.col("n_") >= 3, 1).otherwise(0), F.expr("n_ * 80 div 100")), F.col("n_"))
     split = F.when(F.col("i_") < train, "train").when(F.col("i_") < validation, "validation").otherwise("test")
