@@ -37,7 +37,7 @@ def test_registry():
     assert set(oracle) <= set(queries) and len(queries) >= 150
     assert set(queries) - set(oracle) == {
         "agg_12_distinct_sketches", "agg_14_field_estimates", "ml_01_ridge", "ml_02_poisson", "ml_03_logistic", "ml_04_boosted_trees", "ml_05_nb2", "ml_06_calibration",
-        "ml_15_site_ridge", "snk_04_content_digest", "src_01_file_inventory", "src_02_file_hashes", "src_05_zip_audit",
+        "ml_15_site_ridge", "study_confirmation", "study_dispersion", "snk_04_content_digest", "src_01_file_inventory", "src_02_file_hashes", "src_05_zip_audit",
     }
 
 

@@ -16,7 +16,7 @@ class DuplicateRule:
     metadata: tuple[str, ...]
     order: tuple[str, ...]
     payload: tuple[str, ...]
-    # Rows per block of the first order column, used only inside groups above the threshold.
+    # Width of a block of the last (numeric) order column, used only inside groups above the threshold.
     block_rows: int = 65_536
     hot_threshold: int = 100_000
 
@@ -120,7 +120,7 @@ def membership(rows: DataFrame, unique: DataFrame, rule: DuplicateRule) -> DataF
     joined = ranked(rows, rule).join(facts, keys)
     block = F.when(
         F.col("group_size") > rule.hot_threshold,
-        F.struct("age_rank_class", "age_rank_value", "incomplete_", F.floor(F.col(rule.order[0]) / rule.block_rows).alias("b")),
+        F.struct("age_rank_class", "age_rank_value", "incomplete_", *rule.order[:-1], F.floor(F.col(rule.order[-1]) / rule.block_rows).alias("b")),
     )
     order = ["age_rank_class", "age_rank_value", "incomplete_", *rule.order]
     marked = joined.withColumn("blk_", block)

@@ -83,14 +83,17 @@ def _minimum(cfg: SceneConfig, steps: int, name: str) -> Column:
     return _least(parts)
 
 
-def scene_targets(ticks: DataFrame, cfg: SceneConfig, separations: bool = True) -> DataFrame:
-    """Long table of labels: one row per (scene, horizon). Pair work happens once per tick, not per cutoff."""
+def scene_targets(ticks: DataFrame, cfg: SceneConfig, separations: bool = True, active: DataFrame | None = None) -> DataFrame:
+    """Long table of labels: one row per (scene, horizon). Pair work happens once per tick, not per cutoff.
+
+    `active` replaces the active pairs of the configuration, for studies that reuse one wide pair table.
+    """
     edges = cfg.carry_steps + 1
     per_tick = ticks.groupBy(*TICK).agg(
         F.min("t0_us").alias("t0_us"), F.min("t1_us").alias("t1_us"), F.count(F.lit(1)).alias("n_aircraft"),
         *[F.sum((age_class(cfg) <= d).cast("long")).alias(f"fresh_{d}") for d in range(1, edges + 1)],
     )
-    dense = per_tick.join(episode_terms(active_pairs(ticks, cfg), cfg), TICK, "left")
+    dense = per_tick.join(episode_terms(active_pairs(ticks, cfg) if active is None else active, cfg), TICK, "left")
     if separations:
         dense = dense.join(separation_terms(ticks, cfg), TICK, "left")
     onset = [f"onset_{d}" for d in range(1, edges + 1)]

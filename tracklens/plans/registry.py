@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = [
     "scenes", "ledger_queries", "parse_queries", "feature_queries", "audit_queries", "selection_queries",
-    "evaluation_queries", "model_queries", "file_queries", "stream_queries",
+    "evaluation_queries", "model_queries", "file_queries", "stream_queries", "study_queries",
 ]
 
 
