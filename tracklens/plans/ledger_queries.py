@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tracklens.operators import ledgers as L
 from tracklens.plans.sql import LINES
+from tracklens.session import stage_table
 from tracklens.sources.tables import lineitem_rows
 
 QUERIES: dict = {}
@@ -134,8 +135,8 @@ def agg_21_conservation(spark, folder):
     rows = lineitem_rows(spark, folder).withColumn("raw_row_id", F.concat_ws("-", "k1", "k2", "s1", "s2", "s3", "s4"))
     unreadable = F.coalesce(F.col("age_s") > 20, F.lit(False))
     parsed, bad = rows.filter(~unreadable), rows.filter(unreadable)
-    unique = L.unique_reports(parsed, RULE)
-    members = L.membership(parsed, unique, RULE)
+    unique = stage_table(L.unique_reports(parsed, RULE), "unique")
+    members = stage_table(L.membership(parsed, unique, RULE), "members")
     return L.conservation(parsed, bad, rows, members, unique, L.conflicts(unique), RULE, "raw_row_id")
 
 
