@@ -1,12 +1,14 @@
 """Registered queries of this subpackage with their reference SQL."""
 
-from tracklens.llm import exact_dedup, mixing, token_counts
+from tracklens.llm import decontamination, exact_dedup, mixing, token_counts
 
 QUERIES = {
     "op6_source_mixing": mixing.op6_source_mixing,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE = {
+    "op9_decontamination": decontamination.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
