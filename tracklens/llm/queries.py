@@ -1,9 +1,15 @@
 """Registered queries of this subpackage with their reference SQL."""
 
-from tracklens.llm import decontamination, exact_dedup, mixing, token_counts
+from tracklens.llm import decontamination, exact_dedup, mixing, pii, quality, secrets, simhash, token_counts, toxicity, url_filters
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_url_filters": url_filters.op2_url_filters,
+    "op3_secrets": secrets.op3_secrets,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_pii": pii.op5_pii,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
