@@ -12,7 +12,7 @@ class SceneConfig:
     history_steps: int = 12
     horizons_us: tuple[int, ...] = (30 * K.MICROS, 120 * K.MICROS, 300 * K.MICROS)
     min_aircraft: int = 3
-    max_aircraft: int = 100
+    max_aircraft: int | None = None  # no cap unless a caller asks for one
     horizontal_m: float = K.PROXIMITY_HORIZONTAL_M
     vertical_m: float = K.PROXIMITY_VERTICAL_M
     # (youngest age, oldest age, preferred age) of the two earlier states
@@ -24,8 +24,8 @@ class SceneConfig:
     def __post_init__(self):
         if self.step_us <= 0 or self.history_steps <= 0 or self.stale_us < 0:
             raise ValueError("step and history must be positive, staleness nonnegative")
-        if self.min_aircraft < 2 or self.max_aircraft < self.min_aircraft:
-            raise ValueError("aircraft bounds are invalid")
+        if self.min_aircraft < 2 or (self.max_aircraft is not None and self.max_aircraft < self.min_aircraft):
+            raise ValueError("a scene needs two aircraft at least, and its cap must not be below that")
         if not self.horizons_us or any(h <= 0 for h in self.horizons_us):
             raise ValueError("horizons must be positive")
         if not (0 < self.horizontal_m < float("inf") and 0 < self.vertical_m < float("inf")):

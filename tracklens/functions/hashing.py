@@ -31,11 +31,11 @@ def digest_mod(digest: Column, modulus: int) -> Column:
 def cell_mask(seed: int, report_id: Column, field: Column) -> Column:
     """True for about 30 % of cells, always the same ones for a seed."""
     digest = F.sha2(F.concat(F.lit(str(seed)), F.lit("\0"), report_id, F.lit("\0"), field), 256)
-    return F.substring(digest, 1, 16) <= F.lit(MASK_LIMIT_HEX)
+    return F.substring(digest, 1, 16) < F.lit(MASK_LIMIT_HEX)
 
 
 def span_selected(digest: Column) -> Column:
-    return F.substring(digest, 1, 16) <= F.lit(MASK_LIMIT_HEX)
+    return F.substring(digest, 1, 16) < F.lit(MASK_LIMIT_HEX)
 
 
 def canonical_number(value: Column) -> Column:

@@ -192,8 +192,8 @@ def natural_name_key(name: Column) -> Column:
     lowered = F.lower(name)
     runs = F.regexp_extract_all(lowered, F.lit(r"([0-9]+|[^0-9]+)"), 1)
     return F.transform(runs, lambda r: F.when(
-        r.rlike("^[0-9]+$"), F.struct(F.lit(0).alias("kind"), F.lpad(r, 40, "0").alias("text"))
-    ).otherwise(F.struct(F.lit(1).alias("kind"), r.alias("text"))))
+        r.rlike("^[0-9]+$"), F.struct(F.lit(0).alias("kind"), F.length(F.ltrim(r, F.lit("0"))).alias("digits"), F.ltrim(r, F.lit("0")).alias("text"))
+    ).otherwise(F.struct(F.lit(1).alias("kind"), F.lit(0).alias("digits"), r.alias("text"))))
 
 
 def date_stratum(day: Column) -> Column:

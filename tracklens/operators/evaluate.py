@@ -21,9 +21,9 @@ def ofat_settings(horizontal_nm, vertical_ft, primary_nm, primary_ft) -> list[tu
 
 
 def one_row_join(many: DataFrame, single: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row table."""
+    """Attach the columns of a one-row table, which is broadcast whatever the estimates say."""
     key = F.lit(1).alias("one_")
-    return many.select("*", key).join(single.select("*", key), "one_").drop("one_")
+    return many.select("*", key).join(F.broadcast(single.select("*", key)), "one_").drop("one_")
 
 
 def exposure_rate(train: DataFrame, keys: list[str], count: str, exposure: str, out: str = "rate") -> DataFrame:

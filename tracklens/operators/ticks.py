@@ -82,7 +82,9 @@ def eligible_cutoffs(ticks: DataFrame, cfg: SceneConfig) -> DataFrame:
 
 
 def capped_current(ticks: DataFrame, cutoffs: DataFrame, cfg: SceneConfig) -> DataFrame:
-    """The reports a scene shows at its cutoff: the first `max_aircraft` by identifier."""
+    """The reports a scene shows at its cutoff: all, or the first `max_aircraft` by identifier where a cap is set."""
+    if cfg.max_aircraft is None:
+        return ticks.drop("t0_us", "t1_us").join(cutoffs, TICK)
     first = Window.partitionBy(*TICK).orderBy("aircraft_id")
     kept = (
         ticks.withColumn("position", F.row_number().over(first))

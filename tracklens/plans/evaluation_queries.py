@@ -338,25 +338,25 @@ ORACLE["ml_08_sign_test"] = f"""WITH {PRED}, gl0 AS (SELECT airport, horizon, gr
 
 
 def ml_07_monte_carlo(spark, folder):
-    return _r(ev.monte_carlo_interval(_losses(spark, folder), KEYS, "grp", "delta", 400, "seed-1701"), 7, "mean", "lower", "upper")
+    return _r(ev.monte_carlo_interval(_losses(spark, folder), KEYS, "grp", "delta", 10_000, "seed-1701"), 7, "mean", "lower", "upper")
 
 
 QUERIES["ml_07_monte_carlo"] = ml_07_monte_carlo
 ORACLE["ml_07_monte_carlo"] = f"""WITH {_GL}, d AS (SELECT airport, horizon, c - r AS v, row_number() OVER (PARTITION BY airport, horizon ORDER BY grp) - 1 AS i FROM gl), n AS (SELECT airport, horizon, count(*) AS n, avg(v) AS mean FROM d GROUP BY ALL),
- dr AS (SELECT *, unnest(range(0, n)) AS j FROM (SELECT *, unnest(range(0, 400)) AS r FROM n)),
+ dr AS (SELECT *, unnest(range(0, n)) AS j FROM (SELECT *, unnest(range(0, 10000)) AS r FROM n)),
  m AS (SELECT dr.airport, dr.horizon, dr.r, any_value(n) AS n, any_value(mean) AS mean, avg(v) AS m FROM dr JOIN d ON d.airport = dr.airport AND d.horizon = dr.horizon AND d.i = CAST(('0x' || substr(sha256(concat_ws('|', 'seed-1701', dr.r, dr.j)), 1, 12)) AS BIGINT) % n GROUP BY ALL)
 SELECT airport, horizon, any_value(n) AS group_count, round(any_value(mean), 7) AS mean, round(quantile_cont(m, 0.025), 7) AS lower, round(quantile_cont(m, 0.975), 7) AS upper, count(*) AS resample_count FROM m GROUP BY ALL"""
 
 
 def ml_07_exhaustive(spark, folder):
-    rows = _pred(spark, folder).withColumn("year", F.substring("grp", 1, 4)).filter("year BETWEEN '1996' AND '2000'")
+    rows = _pred(spark, folder).withColumn("year", F.substring("grp", 1, 4))
     losses = ev.group_losses(rows, [], "year", "y", "count_b", "count_a", "mae")
     return _r(ev.exhaustive_interval(losses, "year", "delta"), 7, "mean", "lower", "upper")
 
 
 QUERIES["ml_07_exhaustive"] = ml_07_exhaustive
-ORACLE["ml_07_exhaustive"] = f"""WITH {PRED}, d AS (SELECT substr(grp, 1, 4) AS year, avg(abs(count_b - y)) - avg(abs(count_a - y)) AS v FROM pred WHERE substr(grp, 1, 4) BETWEEN '1996' AND '2000' GROUP BY 1),
- m AS (SELECT (a.v + b.v + c.v + e.v + f.v) / 5 AS m FROM d a, d b, d c, d e, d f) SELECT (SELECT round(avg(v), 7) FROM d) AS mean, round(quantile_cont(m, 0.025), 7) AS lower, round(quantile_cont(m, 0.975), 7) AS upper, count(*) AS resample_count FROM m"""
+ORACLE["ml_07_exhaustive"] = f"""WITH {PRED}, d AS (SELECT substr(grp, 1, 4) AS year, avg(abs(count_b - y)) - avg(abs(count_a - y)) AS v FROM pred GROUP BY 1),
+ m AS (SELECT (a.v + b.v + c.v + e.v + f.v + g.v + h.v) / 7 AS m FROM d a, d b, d c, d e, d f, d g, d h) SELECT (SELECT round(avg(v), 7) FROM d) AS mean, round(quantile_cont(m, 0.025), 7) AS lower, round(quantile_cont(m, 0.975), 7) AS upper, count(*) AS resample_count FROM m"""
 
 
 def ml_09_gates(spark, folder):

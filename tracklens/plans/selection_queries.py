@@ -213,7 +213,7 @@ QUERIES["win_15_masked_spans"] = win_15_masked_spans
 ORACLE["win_15_masked_spans"] = f"""WITH {S.REPORTS}, p AS (SELECT *, count(*) OVER (PARTITION BY source_day, aircraft_id) AS n, row_number() OVER (PARTITION BY source_day, aircraft_id ORDER BY timestamp_us) - 1 AS i FROM reports),
  s AS (SELECT *, i // 4 - CASE WHEN n % 4 = 1 AND n > 4 AND i = n - 1 THEN 1 ELSE 0 END AS span FROM p),
  h AS (SELECT *, CASE WHEN n >= 2 THEN {_sha(f"'{SALT}'", "'1701'", 'source_day', 'aircraft_id', 'CAST(span AS VARCHAR)')} END AS hs FROM s), l AS (SELECT *, min(hs) OVER (PARTITION BY source_day) AS least FROM h)
-SELECT event_id, span, coalesce(CASE WHEN substr(least, 1, 16) <= '4ccccccccccccccc' THEN substr(hs, 1, 16) <= '4ccccccccccccccc' ELSE hs = least END, false) AS masked FROM l"""
+SELECT event_id, span, coalesce(CASE WHEN substr(least, 1, 16) < '4ccccccccccccccc' THEN substr(hs, 1, 16) < '4ccccccccccccccc' ELSE hs = least END, false) AS masked FROM l"""
 
 
 def prj_16_cell_mask(spark, folder):
@@ -223,7 +223,7 @@ def prj_16_cell_mask(spark, folder):
 
 
 QUERIES["prj_16_cell_mask"] = prj_16_cell_mask
-ORACLE["prj_16_cell_mask"] = f"""SELECT field, count(*) AS cells, count(*) FILTER (WHERE substr({_sha("'1701'", 'CAST(event_id AS VARCHAR)', 'field')}, 1, 16) <= '4ccccccccccccccc') AS masked
+ORACLE["prj_16_cell_mask"] = f"""SELECT field, count(*) AS cells, count(*) FILTER (WHERE substr({_sha("'1701'", 'CAST(event_id AS VARCHAR)', 'field')}, 1, 16) < '4ccccccccccccccc') AS masked
 FROM events CROSS JOIN (SELECT unnest(['lat_deg', 'altitude_m', 'speed_mps']) AS field) GROUP BY ALL"""
 
 

@@ -12,10 +12,12 @@ from tracklens.session import prepare, shared_folder
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, max_files: int = 1_000) -> DataFrame:
-    """A table of the folder as a stream of files; the file limit bounds each micro-batch."""
+    """A table of the folder as a stream of files; the file limit bounds each micro-batch.
+
+    The path is a glob of exactly one name, which the stream source reads alike as one file and as a folder of files.
+    """
     schema = prepare(spark).read.parquet(f"{folder}/{name}.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", max_files)
-    return source.parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{folder}/{name}.parque[t]")
 
 
 def use_durable_state(spark: SparkSession) -> None:
