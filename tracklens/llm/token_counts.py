@@ -33,7 +33,7 @@ def pieces(text: str, size: int):
     """Parts of at least `size` characters that end at a safe boundary; joined they give the text."""
     start = 0
     while len(text) - start > size:
-        found = BOUNDARY.search(text, start + size)
+        found = BOUNDARY.search(text, start + max(1, size))
         if found is None:
             break
         yield text[start:found.start()]
