@@ -22,6 +22,7 @@ def raw(tmp_path):
     (day / "blank.csv").write_text("ID,Date\n\na,x\n ,\n")
     (day / "head.csv").write_text("ID,Date\n")
     (day / "empty.csv").write_text("")
+    (day / "long.csv").write_text("ID,Date\n" + "".join(f"r{i},x\n" for i in range(12)))
     (day / "note.txt").write_text("hello")
     with zipfile.ZipFile(root / "old.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("01-02-21/good.csv", "ID,Date\na,2021-01-02\n")
@@ -32,7 +33,7 @@ def raw(tmp_path):
 
 def test_inventory(spark, raw):
     rows = {r.filename: r for r in R.inventory(R.file_contents(spark, {"AP1": str(raw)})).collect()}
-    assert len(rows) == 10
+    assert len(rows) == 11
     good = rows["good.csv"]
     body = (raw / "2021/01-02-21/good.csv").read_bytes()
     assert (good.relative_path, good.year, good.date_directory, good.audit_type) == ("2021/01-02-21/good.csv", "2021", "01-02-21", "csv")
@@ -45,9 +46,11 @@ def test_csv_audit(spark, raw):
     assert (rows["good.csv"].date_status, rows["good.csv"].data_row_count, rows["good.csv"].observed_date_tokens) == ("match", 2, ["01-02-21"])
     assert rows["cut.csv"].terminal_truncation_candidate and rows["cut.csv"].column_mismatch_count == 1
     assert not rows["quote.csv"].strict_parse_ok and rows["quote.csv"].tolerant_parse_ok
-    assert rows["latin.csv"].decode_error.startswith("UnicodeDecodeError at byte") and not rows["latin.csv"].terminal_truncation_candidate
+    assert rows["latin.csv"].decode_error.startswith("no UTF-8 from byte 8") and not rows["latin.csv"].terminal_truncation_candidate
     assert (rows["blank.csv"].blank_row_count, rows["blank.csv"].date_status) == (2, "no_date_values")
-    assert rows["head.csv"].header_only and rows["empty.csv"].is_empty
+    assert rows["head.csv"].header_only and rows["empty.csv"].is_empty and rows["empty.csv"].strict_parse_ok
+    assert rows["long.csv"].last_five == [[f"r{i}", "x"] for i in range(7, 12)] and rows["long.csv"].logical_record_count == 13
+    assert rows["cut.csv"].last_five == [["a", "2021-01-02"], ["b"]] and not rows["cut.csv"].last_five_complete
 
 
 def test_zip_audit(spark, raw):

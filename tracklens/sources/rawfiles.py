@@ -5,15 +5,15 @@ import io
 import os
 import re
 import zipfile
-from collections import deque
+from itertools import islice
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tracklens.functions import text
-from tracklens.operators.ordered import blocked_row_number, blocked_running_sum
-from tracklens.session import prepare
+from tracklens.operators.ordered import blocked_row_number, blocked_running_sum, first_per_group
+from tracklens.session import prepare, stage_table
 
 DROP_TERMINAL = "drop_terminal_record"
 
@@ -56,78 +56,99 @@ def inventory(contents: DataFrame) -> DataFrame:
     )
 
 
-AUDIT_SCHEMA = (
-    "airport_id string, relative_path string, is_empty boolean, header_only boolean, strict_parse_ok boolean, tolerant_parse_ok boolean, header array<string>,"
-    " logical_record_count long, data_row_count long, blank_row_count long, column_mismatch_count long, ends_with_newline boolean, last_five_complete boolean,"
-    " parse_error string, decode_error string, observed_dates array<string>, last_five array<array<string>>"
-)
+FILE = ["airport_id", "relative_path"]
+RECORD_BATCH = 4_096
+TAIL = 5
+RECORD_SCHEMA = "airport_id string, relative_path string, n long, tokens array<string>, parse_error string, decode_error string, tolerant_parse_ok boolean"
 
 
-def _audit_text(content: bytes) -> dict:
-    """Structure of one CSV file; counts stop where strict parsing fails."""
-    found = dict(
-        is_empty=not content, header_only=False, strict_parse_ok=True, tolerant_parse_ok=True, header=[], logical_record_count=0, data_row_count=0, blank_row_count=0,
-        column_mismatch_count=0, ends_with_newline=content[-1:] in (b"\n", b"\r"), last_five_complete=True, parse_error=None, decode_error=None, observed_dates=[], last_five=[],
-    )
-    if not content:
-        return found
-    header, last, dates = None, deque(maxlen=5), set()
+def _reader(content: bytes, strict: bool):
+    stream = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", errors="strict" if strict else "replace", newline="")
+    return csv.reader(stream, strict=strict)
+
+
+def _readable(content: bytes) -> bool:
     try:
-        for row in csv.reader(io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", newline=""), strict=True):
-            found["logical_record_count"] += 1
-            if not any(value.strip() for value in row):
-                found["blank_row_count"] += 1
-            elif header is None:
-                header = row
-            else:
-                found["data_row_count"] += 1
-                found["column_mismatch_count"] += len(row) != len(header)
-                last.append(row)
-                if "Date" in header and header.index("Date") < len(row):
-                    dates.add(row[header.index("Date")])
-    except UnicodeDecodeError as error:
-        found.update(strict_parse_ok=False, decode_error=f"UnicodeDecodeError at byte {error.start}: {error.reason}")
+        return sum(1 for _ in _reader(content, False)) >= 0
+    except csv.Error:
+        return False
+
+
+def _numbered(content: bytes):
+    """Rows of `RECORD_SCHEMA` without the file's name; a file that strict rules reject ends with a row that holds the reason."""
+    n = 0
+    try:
+        for n, tokens in enumerate(_reader(content, True), 1):
+            yield n, tokens, None, None, None
     except csv.Error as error:
-        found.update(strict_parse_ok=False, parse_error=str(error))
-    if not found["strict_parse_ok"]:
-        try:
-            for _ in csv.reader(io.StringIO(content.decode("utf-8-sig", errors="replace"), newline="")):
-                pass
-        except csv.Error:
-            found["tolerant_parse_ok"] = False
-    found.update(header=header or [], last_five=list(last), observed_dates=sorted(dates))
-    found["header_only"] = found["strict_parse_ok"] and bool(header) and not found["data_row_count"]
-    found["last_five_complete"] = header is None or all(len(row) == len(header) for row in last)
-    return found
+        yield n + 1, None, str(error), None, _readable(content)
+    except UnicodeDecodeError as error:
+        yield n + 1, None, None, f"no UTF-8 from byte {error.start} on ({error.reason})", _readable(content)
 
 
-def audit_csv(contents: DataFrame) -> DataFrame:
-    """Structural audit of each CSV file with its date check and terminal-truncation flag."""
-    def audit(batches):
+def csv_records(files: DataFrame) -> DataFrame:
+    """One row per record of each CSV file, in batches, up to the record where strict parsing fails."""
+    def read(batches):
         import pandas as pd
 
+        names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
         for batch in batches:
-            rows = [
-                {"airport_id": a, "relative_path": p, **_audit_text(bytes(c))}
-                for a, p, c in zip(batch.airport_id, batch.relative_path, batch.content)
-            ]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in AUDIT_SCHEMA.split(", ")])
-
-    files = contents.filter(F.lower("relative_path").endswith(".csv")).select("airport_id", "relative_path", "content")
-    audited = files.mapInPandas(audit, AUDIT_SCHEMA)
-    tokens = F.array_sort(F.array_distinct(F.flatten(F.transform("observed_dates", text.all_date_tokens))))
-    date_part = F.get(F.filter(F.split("relative_path", "/"), lambda p: p.rlike("^[0-9]{2}-[0-9]{2}-[0-9]{2}$")), 0)
-    dated = audited.withColumn("observed_date_tokens", tokens).withColumn("expected_date", text.path_date_token(date_part)).drop("observed_dates")
-    error = F.lower(F.coalesce("parse_error", F.lit("")))
-    cut = ~F.col("strict_parse_ok") & F.col("decode_error").isNull() & (error.contains("unexpected end of data") | error.contains("field larger than field limit"))
-    short = F.col("strict_parse_ok") & (F.col("column_mismatch_count") == 1) & ~F.col("last_five_complete")
-    status = (
-        F.when(F.col("expected_date").isNull(), "not_checked").when(~F.array_contains("header", "Date"), "not_assessable")
-        .when(F.size("observed_date_tokens") == 0, "no_date_values").when(F.col("observed_date_tokens") == F.array("expected_date"), "match").otherwise("mismatch")
+            for airport, path, content in zip(batch.airport_id, batch.relative_path, batch.content):
+                rows = _numbered(bytes(content))
+                while part := list(islice(rows, RECORD_BATCH)):
+                    yield pd.DataFrame([(airport, path, *row) for row in part], columns=names)
+
+    return files.select(*FILE, "content").mapInPandas(read, RECORD_SCHEMA)
+
+
+def truncation_candidate() -> Column:
+    """The file stops inside a record: no final line break, and an open or overlong last field or one short row among the last."""
+    open_field = F.coalesce(F.lower("parse_error").rlike("unexpected end of data|field larger than field limit"), F.lit(False))
+    short_row = F.col("strict_parse_ok") & (F.col("column_mismatch_count") == 1) & ~F.col("last_five_complete")
+    return (F.col("data_row_count") > 0) & ~F.col("ends_with_newline") & (open_field | short_row)
+
+
+def date_status() -> Column:
+    """How the dates in a file's Date column agree with the date of its directory."""
+    dates, expected = F.col("observed_date_tokens"), F.col("expected_date")
+    compared = F.when(dates == F.array(expected), "match").when(F.size(dates) > 0, "mismatch").otherwise("no_date_values")
+    return F.when(expected.isNull(), "not_checked").otherwise(F.when(F.array_contains("header", "Date"), compared).otherwise("not_assessable"))
+
+
+def audit_csv(contents: DataFrame) -> DataFrame:
+    """Structural audit of each CSV file: counts, header, dates and last rows are aggregations over its records."""
+    files = contents.filter(F.lower("relative_path").endswith(".csv"))
+    records = stage_table(csv_records(files), "records").withColumn("filled", F.coalesce(F.exists("tokens", lambda t: t.rlike(r"(?U)\S")), F.lit(False)))
+    heads = records.filter("filled").groupBy(*FILE).agg(F.min(F.struct("n", "tokens")).alias("head"))
+    rows = records.join(heads, FILE, "left").select(
+        *FILE, "n", "tokens", "filled", "parse_error", "decode_error", "tolerant_parse_ok", F.col("head.tokens").alias("header"),
+        F.coalesce(F.col("filled") & (F.col("n") > F.col("head.n")), F.lit(False)).alias("is_data"),
+    ).withColumn("is_odd", F.col("is_data") & (F.size("tokens") != F.size("header")))
+    dated = text.all_date_tokens(F.get("tokens", (F.array_position("header", "Date") - 1).cast("int")))
+    counted = rows.groupBy(*FILE).agg(
+        F.max("header").alias("header"), F.count("tokens").alias("logical_record_count"), F.count_if("is_data").alias("data_row_count"),
+        F.count_if(F.col("tokens").isNotNull() & ~F.col("filled")).alias("blank_row_count"), F.count_if("is_odd").alias("column_mismatch_count"),
+        F.max("parse_error").alias("parse_error"), F.max("decode_error").alias("decode_error"), F.max("tolerant_parse_ok").alias("tolerant_parse_ok"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("is_data"), dated))))).alias("observed_date_tokens"),
     )
-    return dated.withColumn("date_status", status).withColumn(
-        "terminal_truncation_candidate", ~F.col("ends_with_newline") & (F.col("data_row_count") > 0) & (cut | short)
+    data = rows.filter("is_data").select(*FILE, "n", "tokens", "is_odd", (-F.col("n")).alias("back"))
+    tails = first_per_group(data, FILE, ["back"], TAIL).groupBy(*FILE).agg(
+        F.array_sort(F.collect_list(F.struct("n", "tokens"))).alias("tail"), (~F.bool_or("is_odd")).alias("last_five_complete"),
+    )
+    shape = files.select(*FILE, (F.length("content") == 0).alias("is_empty"), F.hex(F.substring("content", -1, 1)).isin("0A", "0D").alias("ends_with_newline"))
+    strict = F.col("parse_error").isNull() & F.col("decode_error").isNull()
+    date_part = F.get(F.filter(F.split("relative_path", "/"), lambda p: p.rlike("^[0-9]{2}-[0-9]{2}-[0-9]{2}$")), 0)
+    zero = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    none = F.array().cast("array<string>")
+    audited = shape.join(counted, FILE, "left").join(tails, FILE, "left").select(
+        *FILE, "is_empty", (strict & F.col("header").isNotNull() & (F.col("data_row_count") == 0)).alias("header_only"),
+        strict.alias("strict_parse_ok"), F.coalesce("tolerant_parse_ok", F.lit(True)).alias("tolerant_parse_ok"), F.coalesce("header", none).alias("header"),
+        zero("logical_record_count"), zero("data_row_count"), zero("blank_row_count"), zero("column_mismatch_count"), "ends_with_newline",
+        F.coalesce("last_five_complete", F.lit(True)).alias("last_five_complete"), "parse_error", "decode_error",
+        F.transform(F.coalesce("tail", F.array().cast("array<struct<n:long,tokens:array<string>>>")), lambda r: r["tokens"]).alias("last_five"),
+        F.coalesce("observed_date_tokens", none).alias("observed_date_tokens"), text.path_date_token(date_part).alias("expected_date"),
     )
+    return audited.withColumn("date_status", date_status()).withColumn("terminal_truncation_candidate", truncation_candidate())
 
 
 ZIP_SCHEMA = (
