@@ -5,8 +5,8 @@ entity (one value of a base kind): with p over distinct texts, a term's disclosu
 PMI(term, entity) / IC(entity), 1 if the term occurs next to that entity only. Terms that stand within `REACH` words of an entity in
 `SUPPORT` distinct contexts and reach `DISCLOSURE` are generalised: they become spans of kind `term` wherever they occur.
 
-Terms that never stand next to a protected value are not counted, and pairs are counted between an entity and its
-neighbours only, so a text with many values and words gives linear work. Copies of a text are one context.
+Pairs are counted between an entity and its neighbours only, so a text with many values and words gives linear work. Terms are
+counted over distinct texts; copies of a text are one context.
 
 Nulls: a null text counts as empty and has no spans. Repeated rows give one row each. Long texts are read whole; the
 patterns are possessive, so neither long digit runs nor long words cost more than linear time or stack.
@@ -97,36 +97,34 @@ def _contexts(found: DataFrame) -> DataFrame:
     return near.select("entity_", F.xxhash64("near_").alias("context_"), F.explode(F.array_distinct("near_")).alias("term_"))
 
 
-def revealing_terms(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Terms above the threshold with their entity and disclosure, and the documents that hold candidates.
+def revealing_terms(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms above the threshold with their disclosure, and the documents that hold them.
 
-    `texts` has text_ and spans_ of documents with base spans. Returns staged (term_, disclosure_) and (id_, sha_, term_).
+    `texts` has text_ and spans_ of documents with base spans. Every term of the corpus is counted over distinct texts before
+    anything is joined, so the joins see one row per term. Returns (term_, disclosure_), staged, and (id_, sha_, term_).
     """
     contexts = stage_table(_contexts(texts), "contexts")
     pairs = contexts.groupBy("entity_", "term_").agg(F.count_distinct("context_").alias("both_")).filter(F.col("both_") >= SUPPORT)
-    pairs = stage_table(pairs, "pairs")
-    candidates = stage_table(pairs.select("term_").distinct(), "terms")
-    few = candidates.count() <= BROADCAST_TERMS
     words = docs.select("id_", "sha_", F.explode(F.array_distinct(_terms(F.col("text_")))).alias("term_"))
-    held = stage_table(words.join(F.broadcast(candidates) if few else candidates, "term_", "left_semi"), "held")
+    once = words.groupBy("term_", F.xxhash64("sha_").alias("text_key_")).agg(F.lit(1).cast("long").alias("one_"))
+    by_term = once.groupBy("term_").agg(F.sum("one_").alias("with_term_"))
     total = float(scalar(docs.agg(F.approx_count_distinct("sha_", 0.02)))[0] or 1)
-    by_term = held.select("term_", "sha_").distinct().groupBy("term_").agg(F.count(F.lit(1)).alias("with_term_"))
     by_entity = contexts.select("entity_", "context_").distinct().groupBy("entity_").agg(F.count(F.lit(1)).alias("with_entity_"))
     known = pairs.join(by_term, "term_").join(by_entity, "entity_")
     n = F.greatest(F.lit(total), F.col("with_term_"), F.col("with_entity_")) + 1.0
     pmi = F.log(F.col("both_") * n / (F.col("with_term_") * F.col("with_entity_")))
     scored = known.select("term_", "entity_", (pmi / F.log(n / F.col("with_entity_"))).alias("disclosure_")).filter(F.col("disclosure_") >= DISCLOSURE)
     terms = stage_table(scored.groupBy("term_").agg(F.max("disclosure_").alias("disclosure_")), "revealing")
-    return terms, held
+    few = terms.count() <= BROADCAST_TERMS
+    return terms, words.join(F.broadcast(terms.select("term_")) if few else terms.select("term_"), "term_", "left_semi")
 
 
 def _found(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Documents (row_, id_, sha_, text_) and, staged by (id_, sha_), the revealing terms that each of them holds."""
     base = packed(docs).select(ROW, field_of(doc_id).alias("id_"), digest(text_of(text)).alias("sha_"), text_of(text).alias("text_"))
     spotted = base.select("text_", base_spans(F.col("text_")).alias("spans_")).filter(F.size("spans_") > 0)
-    terms, held = revealing_terms(base.select("id_", "sha_", "text_"), spotted)
-    few = terms.count() <= BROADCAST_TERMS
-    mine = held.join(F.broadcast(terms) if few else terms, "term_").groupBy("id_", "sha_").agg(F.array_sort(F.collect_set("term_")).alias("terms_"))
+    _, held = revealing_terms(base.select("id_", "sha_", "text_"), spotted)
+    mine = held.groupBy("id_", "sha_").agg(F.array_sort(F.collect_set("term_")).alias("terms_"))
     return base, stage_table(mine, "mine")
 
 
