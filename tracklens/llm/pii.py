@@ -105,9 +105,11 @@ def revealing_terms(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataF
     """
     contexts = stage_table(_contexts(texts), "contexts")
     pairs = contexts.groupBy("entity_", "term_").agg(F.count_distinct("context_").alias("both_")).filter(F.col("both_") >= SUPPORT)
-    words = docs.select("id_", "sha_", F.explode(F.array_distinct(_terms(F.col("text_")))).alias("term_"))
-    once = words.groupBy("term_", F.xxhash64("sha_").alias("text_key_")).agg(F.lit(1).cast("long").alias("one_"))
-    by_term = once.groupBy("term_").agg(F.sum("one_").alias("with_term_"))
+    # Copies meet before their words are cut, so a text travels once and a term's count is combined before its shuffle.
+    distinct_terms = F.array_distinct(_terms(F.col("text_")))
+    once = docs.groupBy("sha_").agg(F.first("text_").alias("text_"))
+    by_term = once.select(F.explode(distinct_terms).alias("term_")).groupBy("term_").agg(F.count(F.lit(1)).alias("with_term_"))
+    words = docs.select("id_", "sha_", F.explode(distinct_terms).alias("term_"))
     total = float(scalar(docs.agg(F.approx_count_distinct("sha_", 0.02)))[0] or 1)
     by_entity = contexts.select("entity_", "context_").distinct().groupBy("entity_").agg(F.count(F.lit(1)).alias("with_entity_"))
     known = pairs.join(by_term, "term_").join(by_entity, "entity_")
