@@ -48,3 +48,35 @@ def test_mask_excludes_its_limit(spark):
     below = f"{int(MASK_LIMIT_HEX, 16) - 1:016x}"
     got = spark.createDataFrame([(MASK_LIMIT_HEX,), (below,)], "d string").select(span_selected(F.col("d")).alias("s")).collect()
     assert [r.s for r in got] == [False, True]
+
+
+def test_streams_of_shuffled_files_equal_the_batch(spark, small, tmp_path):
+    """Six files in an order unlike that of time, one a batch: open windows, order checks and runs are as in batch."""
+    from pyspark.sql import Window
+
+    from tracklens.sources.tables import as_reports, load
+    from tracklens.streaming import jobs
+
+    load(spark, small, "events").repartition(6, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    timed = lambda df: as_reports(df).withColumn("event_time", F.timestamp_micros("timestamp_us"))
+    batch = timed(load(spark, small, "events"))
+    stream = lambda: timed(jobs.stream_table(spark, str(tmp_path), "events", 1))
+    delay = jobs.replay_delay(batch)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+
+    daily = lambda df: jobs.matured_days(df, delay)
+    assert rows(jobs.run_to_end(stream(), daily, "daily")) == rows(daily(batch))
+
+    checked = lambda df: df.select("source_file_id", F.floor(F.col("event_id") / 3).alias("ordinal"), F.expr("timestamp_us - if(event_id % 11 = 0, 3600000000, 0)").alias("timestamp_us"))
+    before = F.lag("timestamp_us").over(Window.partitionBy("source_file_id").orderBy("ordinal"))
+    late = checked(batch).withColumn("before", before).filter("timestamp_us < before").drop("before")
+    jobs.use_durable_state(spark)
+    assert rows(jobs.run_available(jobs.order_violations(checked(stream()), 64), "order")) == rows(late)
+
+    valued = lambda df: df.select("aircraft_id", "event_id", "timestamp_us", F.expr("event_id * 7 % 10 div 6").alias("value"), "event_time")
+    order = Window.partitionBy("aircraft_id").orderBy("timestamp_us", "event_id")
+    flagged = valued(batch).withColumn("start", F.when(F.lag("value").over(order).eqNullSafe(F.col("value")), 0).otherwise(1))
+    runs = flagged.withColumn("run", F.sum("start").over(order)).groupBy("aircraft_id", "run").agg(
+        F.first("value"), F.min("timestamp_us"), F.max("timestamp_us"), F.count(F.lit(1))
+    ).drop("run")
+    assert rows(jobs.joined_runs(jobs.run_to_end(valued(stream()), lambda df: jobs.run_pieces(df, delay), "runs"))) == rows(runs)

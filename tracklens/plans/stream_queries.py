@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tracklens.config import EVENT_CONFIG as CFG
 from tracklens.plans import sql as S
-from tracklens.sources.tables import as_reports
+from tracklens.sources.tables import as_reports, load
 from tracklens.streaming import jobs as J
 
 QUERIES: dict = {}
@@ -15,55 +15,62 @@ def _reports(spark, folder):
     return as_reports(J.stream_table(spark, folder, "events")).withColumn("event_time", F.timestamp_micros("timestamp_us"))
 
 
+def _delay(spark, folder):
+    """The table's files may come in any order, so the replay waits for all of them."""
+    return J.replay_delay(as_reports(load(spark, folder, "events")))
+
+
 def str_01_carry_forward(spark, folder):
-    out = J.run_available(J.carry_forward(_reports(spark, folder), CFG, "0 seconds"), "carry")
+    delay = _delay(spark, folder)
+    out = J.run_to_end(_reports(spark, folder), lambda r: J.carry_forward(r, CFG, delay), "carry")
     return out.select("airport_id", "aircraft_id", "k", "timestamp_us", "altitude_m")
 
 
 QUERIES["str_01_carry_forward"] = str_01_carry_forward
 _GRID = S.REPORTS + f""", x AS (SELECT *, unnest(range((timestamp_us + {S.STEP - 1}) // {S.STEP}, (timestamp_us + {S.STALE}) // {S.STEP} + 1)) AS k FROM reports),
  g AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY airport_id, aircraft_id, k ORDER BY timestamp_us DESC, source_file_id DESC) = 1)"""
-ORACLE["str_01_carry_forward"] = f"WITH {_GRID} SELECT airport_id, aircraft_id, k, timestamp_us, altitude_m FROM g WHERE k < (SELECT max(k) FROM x)"
+ORACLE["str_01_carry_forward"] = f"WITH {_GRID} SELECT airport_id, aircraft_id, k, timestamp_us, altitude_m FROM g"
 
 
 def str_02_no_future_reports(spark, folder):
     """No tick shows a report newer than itself or older than the staleness bound."""
-    out = J.run_available(J.carry_forward(_reports(spark, folder), CFG, "0 seconds"), "causal")
+    delay = _delay(spark, folder)
+    out = J.run_to_end(_reports(spark, folder), lambda r: J.carry_forward(r, CFG, delay), "causal")
     age = F.col("k") * CFG.step_us - F.col("timestamp_us")
     return out.groupBy("airport_id").agg(F.count(F.lit(1)).alias("ticks"), F.count_if(age < 0).alias("future"), F.count_if(age > CFG.stale_us).alias("stale"), F.max(age).alias("oldest_us"))
 
 
 QUERIES["str_02_no_future_reports"] = str_02_no_future_reports
-ORACLE["str_02_no_future_reports"] = f"WITH {_GRID} SELECT airport_id, count(*) AS ticks, CAST(0 AS BIGINT) AS future, CAST(0 AS BIGINT) AS stale, max(k * {S.STEP} - timestamp_us) AS oldest_us FROM g WHERE k < (SELECT max(k) FROM x) GROUP BY ALL"
+ORACLE["str_02_no_future_reports"] = f"WITH {_GRID} SELECT airport_id, count(*) AS ticks, CAST(0 AS BIGINT) AS future, CAST(0 AS BIGINT) AS stale, max(k * {S.STEP} - timestamp_us) AS oldest_us FROM g GROUP BY ALL"
 
 
 def str_03_last_per_window(spark, folder):
-    out = J.run_available(J.last_per_window(_reports(spark, folder), 1_800_000_000, "0 seconds"), "last")
+    delay = _delay(spark, folder)
+    out = J.run_to_end(_reports(spark, folder), lambda r: J.last_per_window(r, 1_800_000_000, delay), "last")
     return out.select("airport_id", "source_file_id", "aircraft_id", "window_us", "event_id")
 
 
 QUERIES["str_03_last_per_window"] = str_03_last_per_window
-_CLOSED = "(SELECT max(timestamp_us) // 1000 * 1000 FROM reports)"
-ORACLE["str_03_last_per_window"] = f"""WITH {S.REPORTS} SELECT airport_id, source_file_id, aircraft_id, timestamp_us // 1800000000 * 1800000000 AS window_us, arg_max(event_id, (timestamp_us, event_id)) AS event_id FROM reports
- WHERE timestamp_us // 1800000000 * 1800000000 + 1800000000 <= {_CLOSED} GROUP BY ALL"""
+ORACLE["str_03_last_per_window"] = f"""WITH {S.REPORTS} SELECT airport_id, source_file_id, aircraft_id, timestamp_us // 1800000000 * 1800000000 AS window_us, arg_max(event_id, (timestamp_us, event_id)) AS event_id FROM reports GROUP BY ALL"""
 
 
 def str_04_activity(spark, folder):
-    return J.run_available(J.activity(_reports(spark, folder), 3_600_000_000, "0 seconds"), "activity")
+    delay = _delay(spark, folder)
+    return J.run_to_end(_reports(spark, folder), lambda r: J.activity(r, 3_600_000_000, delay), "activity")
 
 
 QUERIES["str_04_activity"] = str_04_activity
-ORACLE["str_04_activity"] = f"""WITH {S.REPORTS} SELECT airport_id, timestamp_us // 3600000000 * 3600000000 AS window_us, count(DISTINCT aircraft_id) AS aircraft, count(*) AS n_rows FROM reports
- WHERE timestamp_us // 3600000000 * 3600000000 + 3600000000 <= {_CLOSED} GROUP BY ALL"""
+ORACLE["str_04_activity"] = f"""WITH {S.REPORTS} SELECT airport_id, timestamp_us // 3600000000 * 3600000000 AS window_us, count(DISTINCT aircraft_id) AS aircraft, count(*) AS n_rows FROM reports GROUP BY ALL"""
 
 
 def str_05_sliding_activity(spark, folder):
-    return J.run_available(J.activity(_reports(spark, folder), 7_200_000_000, "0 seconds", 1_800_000_000), "sliding")
+    delay = _delay(spark, folder)
+    return J.run_to_end(_reports(spark, folder), lambda r: J.activity(r, 7_200_000_000, delay, 1_800_000_000), "sliding")
 
 
 QUERIES["str_05_sliding_activity"] = str_05_sliding_activity
 ORACLE["str_05_sliding_activity"] = f"""WITH {S.REPORTS}, w AS (SELECT *, (timestamp_us // 1800000000 - unnest(range(0, 4))) * 1800000000 AS window_us FROM reports)
-SELECT airport_id, window_us, count(DISTINCT aircraft_id) AS aircraft, count(*) AS n_rows FROM w WHERE window_us + 7200000000 <= {_CLOSED} GROUP BY ALL"""
+SELECT airport_id, window_us, count(DISTINCT aircraft_id) AS aircraft, count(*) AS n_rows FROM w GROUP BY ALL"""
 
 
 def str_06_order_violations(spark, folder):
@@ -84,32 +91,35 @@ ORACLE["str_06_order_violations"] = f"""WITH {S.REPORTS}, s AS (SELECT source_fi
 def str_07_resolve_keys(spark, folder):
     """Times cut to the hour so that natural keys repeat."""
     coarse = _reports(spark, folder).withColumn("timestamp_us", F.expr("timestamp_us div 3600000000 * 3600000000")).withColumn("event_time", F.timestamp_micros("timestamp_us"))
-    return J.run_available(J.resolve_keys(coarse, "0 seconds"), "resolve")
+    delay = _delay(spark, folder)
+    return J.run_to_end(coarse, lambda r: J.resolve_keys(r, delay), "resolve")
 
 
 QUERIES["str_07_resolve_keys"] = str_07_resolve_keys
 ORACLE["str_07_resolve_keys"] = f"""WITH {S.REPORTS}, c AS (SELECT *, timestamp_us // 3600000000 * 3600000000 AS h FROM reports)
 SELECT airport_id, aircraft_id, h AS timestamp_us, count(*) AS group_size, arg_min(event_id, (CASE WHEN age_s IS NULL THEN 2 WHEN age_s >= 0 THEN 0 ELSE 1 END, coalesce(abs(age_s), 0), event_id)) AS event_id
-FROM c WHERE h < (SELECT max(h) FROM c) GROUP BY ALL"""
+FROM c GROUP BY ALL"""
 
 
 def str_08_matured_days(spark, folder):
-    return J.run_available(J.matured_days(_reports(spark, folder), max(CFG.horizons_us)), "matured")
+    delay = _delay(spark, folder)
+    return J.run_to_end(_reports(spark, folder), lambda r: J.matured_days(r, delay), "matured")
 
 
 QUERIES["str_08_matured_days"] = str_08_matured_days
-ORACLE["str_08_matured_days"] = f"""WITH {S.REPORTS} SELECT airport_id, timestamp_us // 86400000000 * 86400000000 AS day_us, count(*) AS n_rows, max(timestamp_us) AS last_us FROM reports
- WHERE timestamp_us // 86400000000 * 86400000000 + 86400000000 <= {_CLOSED} - {max(CFG.horizons_us)} GROUP BY ALL"""
+ORACLE["str_08_matured_days"] = f"""WITH {S.REPORTS} SELECT airport_id, timestamp_us // 86400000000 * 86400000000 AS day_us, count(*) AS n_rows, max(timestamp_us) AS last_us FROM reports GROUP BY ALL"""
 
 
 def str_09_state_runs(spark, folder):
     J.use_durable_state(spark)
-    valued = _reports(spark, folder).select("aircraft_id", "event_id", "timestamp_us", F.floor(F.col("event_id") * 7 % 10 / 6).alias("value"))
-    return J.run_available(J.state_runs(valued), "runs")
+    delay = _delay(spark, folder)
+    value = F.floor(F.col("event_id") * 7 % 10 / 6).alias("value")
+    valued = _reports(spark, folder).select("aircraft_id", "event_id", "timestamp_us", value, "event_time")
+    return J.joined_runs(J.run_to_end(valued, lambda r: J.run_pieces(r, delay), "runs"))
 
 
 QUERIES["str_09_state_runs"] = str_09_state_runs
 ORACLE["str_09_state_runs"] = f"""WITH {S.REPORTS}, v AS (SELECT aircraft_id, event_id, timestamp_us, CASE WHEN event_id * 7 % 10 >= 6 THEN 1 ELSE 0 END AS value FROM reports),
  f AS (SELECT *, CASE WHEN lag(value) OVER w IS DISTINCT FROM value THEN 1 ELSE 0 END AS s FROM v WINDOW w AS (PARTITION BY aircraft_id ORDER BY timestamp_us, event_id)),
  r AS (SELECT *, sum(s) OVER (PARTITION BY aircraft_id ORDER BY timestamp_us, event_id) AS run FROM f), g AS (SELECT aircraft_id, run, CAST(any_value(value) AS BIGINT) AS value, min(timestamp_us) AS first_us, max(timestamp_us) AS last_us, count(*) AS n FROM r GROUP BY ALL)
-SELECT aircraft_id, value, first_us, last_us, n FROM g QUALIFY run < max(run) OVER (PARTITION BY aircraft_id)"""
+SELECT aircraft_id, value, first_us, last_us, n FROM g"""

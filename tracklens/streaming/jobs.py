@@ -1,15 +1,19 @@
 """Structured Streaming forms of the event-time operators."""
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tracklens.config import SceneConfig
+from tracklens.operators.ordered import blocked_lag, blocked_running_sum
 from tracklens.operators.ticks import STATE
 from tracklens.session import prepare, shared_folder
 
+END_US = 9_000_000_000_000_000  # year 2255, after all reports: the end of a bounded input
+
 
 def stream_table(spark: SparkSession, folder: str, name: str, max_files: int = 1_000) -> DataFrame:
     """A table of the folder as a stream of files; the file limit bounds each micro-batch.
@@ -28,12 +32,7 @@ def use_durable_state(spark: SparkSession) -> None:
     )
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is there, append to a table in the shared folder, and read it back."""
-    import uuid
-
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+def _run(stream: DataFrame, base: str) -> DataFrame:
     query = (
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
@@ -41,7 +40,37 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def run_available(stream: DataFrame, name: str) -> DataFrame:
+    """Process what is there, append to a table in the shared folder, and read it back."""
+    return _run(stream, f"{shared_folder(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}")
+
+
+def run_to_end(reports: DataFrame, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Run `job` over a bounded stream of reports and release what is still open at its end.
+
+    The same query, with the same checkpoint, runs once over the reports and once more over one marker row at `END_US`. The
+    marker moves the watermark past every window and timer; nothing of its own is released, as its time never passes.
+    """
+    spark = reports.sparkSession
+    base = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    marker = spark.range(1).select(*[
+        {"timestamp_us": F.lit(END_US), "event_time": F.timestamp_micros(F.lit(END_US))}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in reports.schema.fields
+    ])
+    marker.limit(0).write.parquet(f"{base}/end")
+    whole = job(reports.unionByName(spark.readStream.schema(marker.schema).parquet(f"{base}/end")))
+    _run(whole, base)
+    marker.write.mode("append").parquet(f"{base}/end")
+    return _run(whole, base)
+
+
+def replay_delay(reports: DataFrame) -> str:
+    """A watermark delay under which files of a bounded input may arrive in any order: the span of its times (batch rows)."""
+    low, high = reports.agg(F.min("timestamp_us"), F.max("timestamp_us")).first()
+    return "0 seconds" if low is None else _seconds(high - low + 1_000_000)
 
 
 def _seconds(us: int) -> str:
@@ -55,7 +84,8 @@ def carry_forward(reports: DataFrame, cfg: SceneConfig, delay: str) -> DataFrame
     latest copy wins. State lives until the watermark passes the tick; nothing later than a tick enters it.
     """
     step, stale = cfg.step_us, cfg.stale_us
-    first, last = F.expr(f"(timestamp_us + {step - 1}) div {step}"), F.expr(f"(timestamp_us + {stale}) div {step}")
+    first = F.expr(f"(timestamp_us + {step - 1}) div {step}")
+    last = F.when(F.col("timestamp_us") < END_US, F.expr(f"(timestamp_us + {stale}) div {step}")).otherwise(first)
     placed = reports.withColumn("k", F.explode(F.sequence(first, last))).withColumn("tick_time", F.timestamp_micros(F.col("k") * step))
     latest = F.max(F.struct("timestamp_us", "source_file_id", *STATE))
     return (
@@ -95,27 +125,39 @@ def resolve_keys(reports: DataFrame, delay: str) -> DataFrame:
     )
 
 
-def matured_days(reports: DataFrame, horizon_us: int) -> DataFrame:
-    """Daily totals, released only once the longest horizon after the day has passed."""
+def matured_days(reports: DataFrame, delay: str) -> DataFrame:
+    """Daily totals, released only once the delay (the longest horizon or more) after the day has passed."""
     return (
-        reports.withWatermark("event_time", _seconds(horizon_us)).groupBy("airport_id", F.window("event_time", "1 day").alias("w"))
+        reports.withWatermark("event_time", delay).groupBy("airport_id", F.window("event_time", "1 day").alias("w"))
         .agg(F.count(F.lit(1)).alias("n_rows"), F.max("timestamp_us").alias("last_us")).select("airport_id", F.unix_micros("w.start").alias("day_us"), "n_rows", "last_us")
     )
 
 
 class OrderCheck(StatefulProcessor):
-    """Per source: flags rows whose time is below that of the row before them in ordinal order."""
+    """Per source and block: flags rows whose time is below that of the row before them in ordinal order.
+
+    State holds the rows that still miss a neighbour, so batches may bring the ordinals in any sequence; a block that is
+    complete keeps nothing.
+    """
+
+    def __init__(self, block_rows: int):
+        self.block_rows = block_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "timestamp_us long")
+        self.edge = handle.getListState("edge", "ordinal long, timestamp_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ordinal", kind="stable")
-        before = frame["timestamp_us"].shift(1)
-        if self.last.exists():
-            before.iloc[0] = self.last.get()[0]
-        self.last.update((int(frame["timestamp_us"].iloc[-1]),))
-        late = frame.assign(decreased=(frame["timestamp_us"] < before))[lambda f: f["decreased"]]
+        new = pd.concat(list(rows))[["ordinal", "timestamp_us"]].assign(new=True)
+        old = pd.DataFrame(list(self.edge.get()), columns=["ordinal", "timestamp_us"]).assign(new=False)
+        frame = pd.concat([old, new], ignore_index=True) if len(old) else new
+        frame = frame.astype({"ordinal": "int64", "timestamp_us": "int64", "new": "bool"}).sort_values("ordinal", kind="stable")
+        before, after = frame.shift(1), frame.shift(-1)
+        follows, followed = before["ordinal"] == frame["ordinal"] - 1, after["ordinal"] == frame["ordinal"] + 1
+        unseen = frame["new"] | before["new"].eq(True)
+        late = frame[follows & unseen & (frame["timestamp_us"] < before["timestamp_us"])]
+        first, last = int(key[1]) * self.block_rows - 1, (int(key[1]) + 1) * self.block_rows - 1
+        open_ = frame[~((follows | (frame["ordinal"] == max(first, 0))) & (followed | (frame["ordinal"] == last)))]
+        self.edge.put([(int(o), int(t)) for o, t in zip(open_["ordinal"], open_["timestamp_us"])])
         yield pd.DataFrame({"source_file_id": key[0], "ordinal": late["ordinal"], "timestamp_us": late["timestamp_us"]})
 
     def close(self) -> None:
@@ -133,37 +175,57 @@ def order_violations(rows: DataFrame, block_rows: int = 65_536) -> DataFrame:
     blocks = F.when(last, F.array(block, block + 1)).otherwise(F.array(block))
     keyed = rows.select("source_file_id", "ordinal", "timestamp_us", F.explode(blocks).alias("block"))
     return keyed.groupBy("source_file_id", "block").transformWithStateInPandas(
-        OrderCheck(), "source_file_id string, ordinal long, timestamp_us long", "append", "none"
+        OrderCheck(block_rows), "source_file_id string, ordinal long, timestamp_us long", "append", "none"
     )
 
 
 class RunTracker(StatefulProcessor):
-    """Per aircraft: closed runs of an unchanged state value; the open run stays in state."""
+    """Per aircraft and time block: runs of an unchanged value, released when the watermark passes the block."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "value long, first_us long, last_us long, n long")
+        self.handle = handle
+        self.rows = handle.getListState("rows", "timestamp_us long, event_id long, value long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["timestamp_us", "event_id"], kind="stable")
-        if self.run.exists():
-            value, first, last, n = self.run.get()
-            head = pd.DataFrame({"value": [value], "first_us": [first], "last_us": [last], "n": [n]})
-        else:
-            head = pd.DataFrame({"value": [], "first_us": [], "last_us": [], "n": []}, dtype="int64")
-        tail = frame.assign(first_us=frame["timestamp_us"], last_us=frame["timestamp_us"], n=1)[["value", "first_us", "last_us", "n"]]
-        steps = pd.concat([head, tail], ignore_index=True).astype("int64")
-        number = (steps["value"] != steps["value"].shift(1)).cumsum()
-        runs = steps.groupby(number).agg(value=("value", "first"), first_us=("first_us", "min"), last_us=("last_us", "max"), n=("n", "sum"))
-        self.run.update(tuple(int(v) for v in runs.iloc[-1]))
-        closed = runs.iloc[:-1]
-        yield pd.DataFrame({"aircraft_id": key[0], **{c: closed[c].to_numpy() for c in ("value", "first_us", "last_us", "n")}})
+        if not self.rows.exists():
+            self.handle.registerTimer(int(key[2]) // 1_000)
+        for frame in rows:
+            self.rows.appendList([(int(t), int(e), int(v)) for t, e, v in zip(frame["timestamp_us"], frame["event_id"], frame["value"])])
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        frame = pd.DataFrame(list(self.rows.get()), columns=["timestamp_us", "event_id", "value"]).sort_values(["timestamp_us", "event_id"], kind="stable")
+        self.rows.clear()
+        number = (frame["value"] != frame["value"].shift(1)).cumsum()
+        runs = frame.groupby(number).agg(value=("value", "first"), first_us=("timestamp_us", "min"), last_us=("timestamp_us", "max"), n=("value", "size"))
+        yield pd.DataFrame({"aircraft_id": key[0], "block": int(key[1]), "piece": range(len(runs)), **{c: runs[c].to_numpy() for c in ("value", "first_us", "last_us", "n")}})
 
     def close(self) -> None:
         pass
 
 
-def state_runs(reports: DataFrame) -> DataFrame:
-    """Closed value runs per aircraft. Only the open run is kept, so state does not grow with history."""
-    return reports.select("aircraft_id", "event_id", "timestamp_us", "value").groupBy("aircraft_id").transformWithStateInPandas(
-        RunTracker(), "aircraft_id string, value long, first_us long, last_us long, n long", "append", "none"
+def run_pieces(reports: DataFrame, delay: str, block_us: int = 3_600_000_000) -> DataFrame:
+    """Value runs per aircraft, cut at time blocks: block and piece give their order.
+
+    A block is one key, so a busy aircraft is spread over its blocks, and state ends with the block whatever the order of batches.
+    """
+    block = F.floor(F.col("timestamp_us") / block_us)
+    # The end marker moves the watermark only; a filter on the event time stays above the watermark.
+    real = reports.withWatermark("event_time", delay).filter(F.col("event_time") < F.timestamp_micros(F.lit(END_US)))
+    keyed = real.select(
+        "aircraft_id", "event_id", "timestamp_us", "value", "event_time", block.alias("block"), ((block + 1) * block_us).alias("end_us")
     )
+    return keyed.groupBy("aircraft_id", "block", "end_us").transformWithStateInPandas(
+        RunTracker(), "aircraft_id string, block long, piece long, value long, first_us long, last_us long, n long", "append", "eventTime"
+    )
+
+
+def joined_runs(pieces: DataFrame) -> DataFrame:
+    """Maximal runs from released pieces, in batch: pieces of one value that follow each other are one run."""
+    order, month = ["block", "piece"], F.floor(F.col("block") / 720)
+    lagged = blocked_lag(pieces, ["aircraft_id"], month, order, ["value"])
+    starts = lagged.withColumn("starts", (F.col("prev").isNull() | (F.col("prev.value") != F.col("value"))).cast("long")).drop("prev")
+    numbered = blocked_running_sum(starts, ["aircraft_id"], month, order, "starts", "run")
+    return numbered.groupBy("aircraft_id", "run").agg(
+        F.first("value").alias("value"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n")
+    ).drop("run")
