@@ -53,3 +53,11 @@ def test_revealing_term_is_generalised_everywhere(spark):
     got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[30] == "[TERM] was here" and got[31] is None and got[10] == "common words ask here a"
     assert got[0] == "one ask [TERM] at [EMAIL] oneone"
+
+
+def test_same_neighbourhood_in_different_texts_counts_each_time(spark):
+    rows = [(i, f"note{i} about item{i} . kind regards from hammerfest hammer@x.com sent by phone") for i in range(6)]
+    rows += [(10 + i, f"other text{i} sent by phone with kind regards from us") for i in range(20)] + [(40, "Hammerfest was here")]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[40] == "[TERM] was here" and got[10] == rows[6][1]
+    assert got[0] == "note0 about item0 . kind regards from [TERM] [EMAIL] sent by phone"

@@ -3,10 +3,10 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers. The corpus then says which terms reveal a protected
 entity (one value of a base kind): with p over distinct texts, a term's disclosure of an entity is
 PMI(term, entity) / IC(entity), 1 if the term occurs next to that entity only. Terms that stand within `REACH` words of an entity in
-`SUPPORT` distinct contexts and reach `DISCLOSURE` are generalised: they become spans of kind `term` wherever they occur.
+`SUPPORT` distinct texts and reach `DISCLOSURE` are generalised: they become spans of kind `term` wherever they occur.
 
-Pairs are counted between an entity and its neighbours only, so a text with many values and words gives linear work. Terms are
-counted over distinct texts; copies of a text are one context.
+Pairs are counted between an entity and its neighbours only, so a text with many values and words gives linear work. All
+counts are of distinct texts; copies of a text count once.
 
 Nulls: a null text counts as empty and has no spans. Repeated rows give one row each. Long texts are read whole; the
 patterns are possessive, so neither long digit runs nor long words cost more than linear time or stack.
@@ -85,33 +85,34 @@ def _terms(text: Column) -> Column:
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """Distinct neighbours of each entity occurrence: entity_, context_ (digest of the neighbourhood), term_."""
-    each = found.select("text_", F.explode("spans_").alias("s_"))
+    """Neighbours of each entity occurrence with the text's digest: entity_, sha_, term_."""
+    each = found.select("sha_", "text_", F.explode("spans_").alias("s_"))
     width = 40 * REACH
     left = F.expr(f"substring(text_, greatest(s_.start - {width}, 0) + 1, least(s_.start, {width}))")
     right = F.expr(f"substring(text_, s_.end + 1, {width})")
     near = each.select(
-        F.concat_ws(":", "s_.kind", F.lower("s_.value")).alias("entity_"),
+        "sha_", F.concat_ws(":", "s_.kind", F.lower("s_.value")).alias("entity_"),
         F.concat(F.slice(F.reverse(_terms(left)), 1, REACH), F.slice(_terms(right), 1, REACH)).alias("near_"),
     )
-    return near.select("entity_", F.xxhash64("near_").alias("context_"), F.explode(F.array_distinct("near_")).alias("term_"))
+    return near.select("entity_", "sha_", F.explode(F.array_distinct("near_")).alias("term_"))
 
 
 def revealing_terms(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Terms above the threshold with their disclosure, and the documents that hold them.
 
-    `texts` has text_ and spans_ of documents with base spans. Every term of the corpus is counted over distinct texts before
+    `texts` has sha_, text_ and spans_ of documents with base spans. Every term of the corpus is counted over distinct texts before
     anything is joined, so the joins see one row per term. Returns (term_, disclosure_), staged, and (id_, sha_, term_).
     """
     contexts = stage_table(_contexts(texts), "contexts")
-    pairs = contexts.groupBy("entity_", "term_").agg(F.count_distinct("context_").alias("both_")).filter(F.col("both_") >= SUPPORT)
+    pairs = contexts.groupBy("entity_", "term_").agg(F.count_distinct("sha_").alias("both_")).filter(F.col("both_") >= SUPPORT)
     # Copies meet before their words are cut, so a text travels once and a term's count is combined before its shuffle.
     distinct_terms = F.array_distinct(_terms(F.col("text_")))
     once = docs.groupBy("sha_").agg(F.first("text_").alias("text_"))
     by_term = once.select(F.explode(distinct_terms).alias("term_")).groupBy("term_").agg(F.count(F.lit(1)).alias("with_term_"))
     words = docs.select("id_", "sha_", F.explode(distinct_terms).alias("term_"))
-    total = float(scalar(docs.agg(F.approx_count_distinct("sha_", 0.02)))[0] or 1)
-    by_entity = contexts.select("entity_", "context_").distinct().groupBy("entity_").agg(F.count(F.lit(1)).alias("with_entity_"))
+    total = float(scalar(docs.agg(F.count_distinct("sha_")))[0] or 1)
+    entities = texts.select("sha_", F.explode("spans_").alias("s_")).select(F.concat_ws(":", "s_.kind", F.lower("s_.value")).alias("entity_"), "sha_")
+    by_entity = entities.distinct().groupBy("entity_").agg(F.count(F.lit(1)).alias("with_entity_"))
     known = pairs.join(by_term, "term_").join(by_entity, "entity_")
     n = F.greatest(F.lit(total), F.col("with_term_"), F.col("with_entity_")) + 1.0
     pmi = F.log(F.col("both_") * n / (F.col("with_term_") * F.col("with_entity_")))
@@ -124,7 +125,7 @@ def revealing_terms(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataF
 def _found(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Documents (row_, id_, sha_, text_) and, staged by (id_, sha_), the revealing terms that each of them holds."""
     base = packed(docs).select(ROW, field_of(doc_id).alias("id_"), digest(text_of(text)).alias("sha_"), text_of(text).alias("text_"))
-    spotted = base.select("text_", base_spans(F.col("text_")).alias("spans_")).filter(F.size("spans_") > 0)
+    spotted = base.select("sha_", "text_", base_spans(F.col("text_")).alias("spans_")).filter(F.size("spans_") > 0)
     _, held = revealing_terms(base.select("id_", "sha_", "text_"), spotted)
     mine = held.groupBy("id_", "sha_").agg(F.array_sort(F.collect_set("term_")).alias("terms_"))
     return base, stage_table(mine, "mine")
