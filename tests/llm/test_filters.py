@@ -31,6 +31,14 @@ def test_rules_and_templates(spark):
     assert url_filters.judge_urls(pages.limit(0), spark.createDataFrame([], "url string, good int")).count() == 0
 
 
+def test_one_bad_section_of_many(spark):
+    good = [(f"http://h.org/part-{chr(97 + s % 26)}{chr(97 + s // 26)}/{i}", int(s != 7)) for s in range(100) for i in range(20)]
+    pages = spark.createDataFrame([(0, "http://h.org/part-ha/99"), (1, "http://h.org/part-ca/99"), (2, "http://h.org/new/1")] + [(3 + i, u) for i, (u, _) in enumerate(good)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filters.judge_urls(pages, spark.createDataFrame(good, "url string, good int")).collect()}
+    assert [got[i].verdict for i in range(3)] == ["block", "allow", "allow"]
+    assert got[0].template == "/part-ha/#" and got[1].template == got[2].template == "/*/#"
+
+
 def test_secrets(spark, documents, odd):
     kinds = [("key AKIA%016d end", 1), ('token = "%040x" x', 1), ("number %016d and", 0), ("see page-of-things-%d now", 0)]
     rows = [(i * 10 + k, "Before " + text % (i * 7919 + 10**15 if "016d" in text or "040x" in text else i + 100), label) for i in range(40) for k, (text, label) in enumerate(kinds)]

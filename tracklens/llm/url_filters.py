@@ -1,8 +1,8 @@
 """URL filters with a path-template tree per host.
 
 Paths are cut into segments; runs of digits are lexical variables. Level by level below each host, a segment becomes a
-wildcard when its branch is rare among many siblings, or when its labelled purity does not differ from that of its parent's
-labelled rows (a test against the pooled siblings, so no pairs are compared). Templates whose smoothed purity falls below a threshold are rejected.
+wildcard when it has siblings and its labelled purity does not differ from that of its parent's labelled rows (a test against the
+pooled siblings, so no pairs are compared). A branch without labels does not differ; however small its share is, one whose labels differ stays. Templates whose smoothed purity falls below a threshold are rejected.
 Fixed rules by host suffix and path prefix come first; the longest fitting rule decides.
 
 The tree is grown on distinct shapes with their counts, never on urls, and each level is an aggregation with a join back.
@@ -25,8 +25,6 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 DEPTH = 8
-MANY_SIBLINGS = 20
-RARE_SHARE = 0.02
 SIMILAR_Z = 2.58
 PRIOR_ROWS = 4.0
 LEAST_PURITY = 0.5
@@ -67,20 +65,19 @@ def templates(shapes: DataFrame, total: int) -> DataFrame:
     grown = shapes.withColumn("template_", F.array().cast("array<string>"))
     for level in range(deepest):
         step = stage_table(grown.withColumn("part_", F.get("parts_", level)).withColumn("node_", F.xxhash64("host_", "template_")), "level")
-        branch = step.filter("part_ IS NOT NULL").groupBy("node_", "part_").agg(F.sum("n_").alias("n_"), F.sum("good_").alias("good_"), F.sum("labelled_").alias("labelled_"), F.count(F.lit(1)).alias("shapes_"))
+        branch = step.filter("part_ IS NOT NULL").groupBy("node_", "part_").agg(F.sum("good_").alias("good_"), F.sum("labelled_").alias("labelled_"), F.count(F.lit(1)).alias("shapes_"))
         branch = stage_table(branch, "branches")
         parent = branch.groupBy("node_").agg(
-            F.sum("n_").alias("all_n_"), F.sum("good_").alias("all_good_"), F.sum("labelled_").alias("all_labelled_"), F.count(F.lit(1)).alias("siblings_"),
+            F.sum("good_").alias("all_good_"), F.sum("labelled_").alias("all_labelled_"), F.count(F.lit(1)).alias("siblings_"),
         )
         parent = stage_table(parent, "parents")
-        facts = ["all_n_", "all_good_", "all_labelled_", "siblings_"]
+        facts = ["all_good_", "all_labelled_", "siblings_"]
         both = join_on_group(branch, parent, "node_", "siblings_", facts, branch.count(), ["part_"])
         pooled = (F.col("all_good_") + 1) / (F.col("all_labelled_") + 2)
         own = F.col("good_") / F.when(F.col("labelled_") > 0, F.col("labelled_"))
         error = F.sqrt(pooled * (1 - pooled) / F.when(F.col("labelled_") > 0, F.col("labelled_")))
-        rare = (F.col("siblings_") >= MANY_SIBLINGS) & (F.col("n_") < F.col("all_n_") * RARE_SHARE)
         similar = (F.col("siblings_") > 1) & F.coalesce(F.abs(own - pooled) <= F.lit(SIMILAR_Z) * error, F.lit(True))
-        named = both.select(F.xxhash64("node_", "part_").alias("branch_"), "shapes_", F.when(rare | similar, F.lit(WILDCARD)).otherwise(F.col("part_")).alias("name_"))
+        named = both.select(F.xxhash64("node_", "part_").alias("branch_"), "shapes_", F.when(similar, F.lit(WILDCARD)).otherwise(F.col("part_")).alias("name_"))
         keyed = step.withColumn("branch_", F.when(F.col("part_").isNotNull(), F.xxhash64("node_", "part_")))
         grown = join_on_group(keyed, stage_table(named, "named"), "branch_", "shapes_", ["name_"], step.count(), ["shape_key_"]).withColumn(
             "template_", F.when(F.col("name_").isNull(), F.col("template_")).otherwise(F.concat("template_", F.array("name_")))
