@@ -57,7 +57,16 @@ def test_revealing_term_is_generalised_everywhere(spark):
 
 def test_same_neighbourhood_in_different_texts_counts_each_time(spark):
     rows = [(i, f"note{i} about item{i} . kind regards from hammerfest hammer@x.com sent by phone") for i in range(6)]
-    rows += [(10 + i, f"other text{i} sent by phone with kind regards from us") for i in range(20)] + [(40, "Hammerfest was here")]
+    rows += [(10 + i, f"other text{i} about us sent by phone with kind regards from us") for i in range(20)] + [(40, "Hammerfest was here")]
     got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[40] == "[TERM] was here" and got[10] == rows[6][1]
     assert got[0] == "note0 about item0 . kind regards from [TERM] [EMAIL] sent by phone"
+
+
+def test_term_far_from_its_entity_is_found(spark):
+    filler = " ".join(f"filler{chr(97 + i)}" for i in range(60))
+    rows = [(i, f"Dear Hammerfest, {filler} topic{i} {filler} write to sales@x.com") for i in range(5)]
+    rows += [(10 + i, f"Dear friend{i}, {filler} write to us") for i in range(40)] + [(60, "hammerfest was here")]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[60] == "[TERM] was here" and got[10] == rows[5][1]
+    assert got[0] == f"Dear [TERM], {filler} topic0 {filler} write to [EMAIL]"

@@ -2,11 +2,11 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. The corpus then says which terms reveal a protected
 entity (one value of a base kind): with p over distinct texts, a term's disclosure of an entity is
-PMI(term, entity) / IC(entity), 1 if the term occurs next to that entity only. Terms that stand within `REACH` words of an entity in
-`SUPPORT` distinct texts and reach `DISCLOSURE` are generalised: they become spans of kind `term` wherever they occur.
+PMI(term, entity) / IC(entity), 1 if the term occurs in texts with that entity only, at any distance. Terms that share `SUPPORT` distinct
+texts with an entity and reach `DISCLOSURE` are generalised: they become spans of kind `term` wherever they occur.
 
-Pairs are counted between an entity and its neighbours only, so a text with many values and words gives linear work. All
-counts are of distinct texts; copies of a text count once.
+Entities in under `SUPPORT` texts, and terms in more texts than any entity's threshold allows, leave before pairs are made; a text then gives
+one pair for each of its entities and terms left. All counts are of distinct texts; copies of a text count once.
 
 Nulls: a null text counts as empty and has no spans. Repeated rows give one row each. Long texts are read whole; the
 patterns are possessive, so neither long digit runs nor long words cost more than linear time or stack.
@@ -14,7 +14,7 @@ patterns are possessive, so neither long digit runs nor long words cost more tha
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracklens.llm.common import ROW, bound, digest, field_of, packed, scalar, table, text_of
+from tracklens.llm.common import ROW, bound, digest, field_of, join_on_group, packed, scalar, table, text_of
 from tracklens.llm.spans import matches
 from tracklens.session import stage_table
 
@@ -26,7 +26,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
-REACH = 4
 SUPPORT = 3
 DISCLOSURE = 0.8
 BROADCAST_TERMS = 200_000
@@ -84,39 +83,41 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_TERM), lambda w: w.rlike("^" + TERM + "$"))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """Neighbours of each entity occurrence with the text's digest: entity_, sha_, term_."""
-    each = found.select("sha_", "text_", F.explode("spans_").alias("s_"))
-    width = 40 * REACH
-    left = F.expr(f"substring(text_, greatest(s_.start - {width}, 0) + 1, least(s_.start, {width}))")
-    right = F.expr(f"substring(text_, s_.end + 1, {width})")
-    near = each.select(
-        "sha_", F.concat_ws(":", "s_.kind", F.lower("s_.value")).alias("entity_"),
-        F.concat(F.slice(F.reverse(_terms(left)), 1, REACH), F.slice(_terms(right), 1, REACH)).alias("near_"),
-    )
-    return near.select("entity_", "sha_", F.explode(F.array_distinct("near_")).alias("term_"))
+def _outside(text: Column) -> Column:
+    """Distinct terms of a text outside its e-mail addresses, the only base spans that hold letters."""
+    return F.array_distinct(_terms(F.regexp_replace(text, PATTERNS["email"], " ")))
+
+
+def _most_texts(n: Column | float, with_entity: Column) -> Column:
+    """Texts that a term can have to reach the threshold with an entity: from with_both <= with_entity; a little slack for rounding."""
+    return F.pow(F.lit(n), F.lit(1 - DISCLOSURE)) * F.pow(with_entity, F.lit(DISCLOSURE)) * (1 + 1e-9)
 
 
 def revealing_terms(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Terms above the threshold with their disclosure, and the documents that hold them.
 
-    `texts` has sha_, text_ and spans_ of documents with base spans. Every term of the corpus is counted over distinct texts before
-    anything is joined, so the joins see one row per term. Returns (term_, disclosure_), staged, and (id_, sha_, term_).
+    `texts` has sha_, text_ and spans_ of documents with base spans. A term and an entity meet in every text that holds both, at any distance.
+    Terms and entities are counted over distinct texts first; those that cannot reach the support or the threshold with
+    any entity leave before pairs are made. Returns (term_, disclosure_), staged, and (id_, sha_, term_).
     """
-    contexts = stage_table(_contexts(texts), "contexts")
-    pairs = contexts.groupBy("entity_", "term_").agg(F.count_distinct("sha_").alias("both_")).filter(F.col("both_") >= SUPPORT)
     # Copies meet before their words are cut, so a text travels once and a term's count is combined before its shuffle.
     distinct_terms = F.array_distinct(_terms(F.col("text_")))
     once = docs.groupBy("sha_").agg(F.first("text_").alias("text_"))
     by_term = once.select(F.explode(distinct_terms).alias("term_")).groupBy("term_").agg(F.count(F.lit(1)).alias("with_term_"))
     words = docs.select("id_", "sha_", F.explode(distinct_terms).alias("term_"))
-    total = float(scalar(docs.agg(F.count_distinct("sha_")))[0] or 1)
-    entities = texts.select("sha_", F.explode("spans_").alias("s_")).select(F.concat_ws(":", "s_.kind", F.lower("s_.value")).alias("entity_"), "sha_")
-    by_entity = entities.distinct().groupBy("entity_").agg(F.count(F.lit(1)).alias("with_entity_"))
-    known = pairs.join(by_term, "term_").join(by_entity, "entity_")
-    n = F.greatest(F.lit(total), F.col("with_term_"), F.col("with_entity_")) + 1.0
+    n = float(scalar(docs.agg(F.count_distinct("sha_")))[0] or 1) + 1.0
+    held = texts.select("sha_", F.explode("spans_").alias("s_")).select("sha_", F.concat_ws(":", "s_.kind", F.lower("s_.value")).alias("entity_"))
+    entities = stage_table(held.distinct(), "entities")
+    by_entity = stage_table(entities.groupBy("entity_").agg(F.count(F.lit(1)).alias("with_entity_")).filter(F.col("with_entity_") >= SUPPORT), "counts")
+    size, most = scalar(by_entity.agg(F.sum("with_entity_"), F.max("with_entity_")))
+    known = stage_table(join_on_group(entities, by_entity, "entity_", "with_entity_", ["with_entity_"], size or 0, ["sha_"]).filter("with_entity_ IS NOT NULL"), "known")
+    own = texts.select("sha_", "text_").join(known.select("sha_").distinct(), "sha_", "left_semi").dropDuplicates(["sha_"])
+    able = by_term.filter((F.col("with_term_") >= SUPPORT) & (F.col("with_term_") <= _most_texts(n, F.lit(float(most or 0)))))
+    beside = own.select("sha_", F.explode(_outside(F.col("text_"))).alias("term_")).join(able, "term_")
+    met = beside.join(known, "sha_").filter(F.col("with_term_") <= _most_texts(n, F.col("with_entity_")))
+    pairs = met.groupBy("entity_", "term_").agg(F.count(F.lit(1)).alias("both_"), F.first("with_term_").alias("with_term_"), F.first("with_entity_").alias("with_entity_")).filter(F.col("both_") >= SUPPORT)
     pmi = F.log(F.col("both_") * n / (F.col("with_term_") * F.col("with_entity_")))
-    scored = known.select("term_", "entity_", (pmi / F.log(n / F.col("with_entity_"))).alias("disclosure_")).filter(F.col("disclosure_") >= DISCLOSURE)
+    scored = pairs.select("term_", "entity_", (pmi / F.log(n / F.col("with_entity_"))).alias("disclosure_")).filter(F.col("disclosure_") >= DISCLOSURE)
     terms = stage_table(scored.groupBy("term_").agg(F.max("disclosure_").alias("disclosure_")), "revealing")
     few = terms.count() <= BROADCAST_TERMS
     return terms, words.join(F.broadcast(terms.select("term_")) if few else terms.select("term_"), "term_", "left_semi")
