@@ -49,3 +49,11 @@ def test_secrets(spark, documents, odd):
     text = {i: t for i, t, _ in rows}
     assert all(16 <= r.end - r.start and text[i][r.start:r.end].strip() == text[i][r.start:r.end] for i, r in got.items())
     assert secrets.scan_secrets(odd).count() == 0 and secrets.scan_secrets(documents.limit(0)).count() == 0
+
+
+def test_short_and_odd_assigned_values_are_candidates(spark):
+    texts = ['password = "Tr0ub4dor&3" x', "set api_key: 'p@ss w0rd!' now", "DB_PASSWD=hunter2; go", "run abcdefghijklmnopqrstuvwx now", '{"auth_token": "é😀zz9"}', "plain words only"]
+    want = {(0, "Tr0ub4dor&3"), (1, "p@ss w0rd!"), (2, "hunter2;"), (3, "abcdefghijklmnopqrstuvwx"), (4, "é😀zz9")}
+    got = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, texts[r.doc_id][r.start:r.end]) for r in got} == want
+    assert all(r.is_secret for r in got if r.doc_id in (0, 1))

@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, then a random forest that removes false positives.
 
-Candidates are runs of 16 or more key characters that hold a digit. The forest sees length, character transitions, dictionary
+Candidates are runs of 16 or more key characters, and every value of four characters or more that is assigned to a name with a credential's
+word in it, up to its quote or, without quotes, to the next quote or blank; where both differ, both are listed. The forest sees length, character transitions, dictionary
 coverage, path and neighbouring words, and is trained on labelled findings. Everything is built from SQL functions and Spark's own
 forest.
 
@@ -30,14 +31,28 @@ FREQUENT = 1e-4
 KEY_WORDS = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|bearer|auth)"
 KNOWN_KEYS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})$"
 HARMLESS = r"^([0-9-]+|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[A-Za-z_-]+[0-9]{1,4})$"
+ASSIGNED = KEY_WORDS + r"""[\w-]*+["']?\s*+[=:]\s*+(?:"[^"\n]{4,}+"|'[^'\n]{4,}+'|[^\s"']{4,}+)"""
+ASSIGNMENT = r"""^[^=:]*[=:]\s*["']?"""
 FEATURES = ["length", "digits", "upper", "lower", "hex", "changes", "distinct", "covered", "slashes", "named", "assigned", "quoted", "prefix_caps"]
 
 
+def _assigned(text: Column) -> Column:
+    """Values assigned to names that tell of a credential, in the form of `matches`."""
+    def value(m: Column) -> Column:
+        def cut(head: Column) -> Column:
+            inner = F.substring(m["value"], F.length(head) + 1, F.length(m["value"]) - F.length(head) - head.rlike("[\"']$").cast("int"))
+            return bound(inner, lambda v: F.struct((m["start"] + F.length(head)).alias("start"), (m["start"] + F.length(head) + F.length(v)).alias("end"), v.alias("value")))
+
+        return bound(F.regexp_extract(m["value"], ASSIGNMENT, 0), cut)
+
+    return F.transform(matches(text, ASSIGNED), value)
+
+
 def candidates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per candidate: id_, sha_, start_, end_, value_, before_, after_."""
     base = packed(docs).select(field_of(doc_id).alias("id_"), digest(text_of(text)).alias("sha_"), text_of(text).alias("text_"))
     near = base.select("id_", "sha_", bound(F.col("text_"), lambda t: F.transform(
-        F.filter(matches(t, CANDIDATE), lambda m: m["value"].rlike("[0-9]")),
+        F.array_distinct(F.concat(matches(t, CANDIDATE), _assigned(t))),
         lambda m: F.struct(
             m["start"].alias("start_"), m["end"].alias("end_"), m["value"].alias("value_"),
             F.substring(t, F.greatest(m["start"] - AROUND, F.lit(0)) + 1, F.least(m["start"], F.lit(AROUND))).alias("before_"),
@@ -82,10 +97,11 @@ def described(found: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def seed_findings(found: DataFrame) -> DataFrame:
-    """Labelled findings by fixed formats: known keys and named assignments are secrets, harmless formats are not; others get no label."""
+    """Labelled findings by fixed formats: known keys and named assignments are secrets, harmless formats are not, nor are letters only without a name; others get no label."""
     named = F.col("before_").rlike(KEY_WORDS + "[\\w-]*[\"']?\\s*[=:]\\s*[\"']?$")
     harmless = F.col("value_").rlike(HARMLESS)
-    label = F.when(F.col("value_").rlike(KNOWN_KEYS) | (named & ~harmless), F.lit(1)).when(harmless, F.lit(0))
+    letters = F.col("value_").rlike("^[A-Za-z/_+-]+$")
+    label = F.when(F.col("value_").rlike(KNOWN_KEYS) | (named & ~harmless & ~letters), F.lit(1)).when(harmless | (letters & ~named), F.lit(0))
     return found.withColumn("label_", label).filter("label_ IS NOT NULL")
 
 
