@@ -2,9 +2,11 @@
 
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -19,7 +21,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package's source to the workers once per application, so Python functions load there from any folder."""
+    """Send the package's source to the workers once per application, so Python functions load there from any folder.
+
+    Stateful processors also start in a worker beside the driver, which sees no shipped files: functions and classes
+    of the stream module travel by value.
+    """
+    streams = sys.modules.get("tracklens.streaming.jobs")
+    if streams is not None:
+        cloudpickle.register_pickle_by_value(streams)
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return

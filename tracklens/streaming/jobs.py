@@ -157,7 +157,10 @@ class OrderCheck(StatefulProcessor):
         late = frame[follows & unseen & (frame["timestamp_us"] < before["timestamp_us"])]
         first, last = int(key[1]) * self.block_rows - 1, (int(key[1]) + 1) * self.block_rows - 1
         open_ = frame[~((follows | (frame["ordinal"] == max(first, 0))) & (followed | (frame["ordinal"] == last)))]
-        self.edge.put([(int(o), int(t)) for o, t in zip(open_["ordinal"], open_["timestamp_us"])])
+        if len(open_):
+            self.edge.put([(int(o), int(t)) for o, t in zip(open_["ordinal"], open_["timestamp_us"])])
+        else:
+            self.edge.clear()  # an empty list is no legal state
         yield pd.DataFrame({"source_file_id": key[0], "ordinal": late["ordinal"], "timestamp_us": late["timestamp_us"]})
 
     def close(self) -> None:
