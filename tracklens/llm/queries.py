@@ -1,6 +1,6 @@
 """Registered queries of this subpackage with their reference SQL."""
 
-from tracklens.llm import decontamination, exact_dedup, mixing, pii, quality, secrets, simhash, token_counts, toxicity, url_filters
+from tracklens.llm import decontamination, exact_dedup, fill_middle, manifest, mixing, pii, quality, secrets, sharding, simhash, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,8 +13,14 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_manifest": manifest.op12_manifest,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 ORACLE = {
     "op9_decontamination": decontamination.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_sharding": sharding.OP11_SQL,
+    "op12_manifest": manifest.OP12_SQL,
+    "op13_fill_middle": fill_middle.OP13_SQL,
 }
