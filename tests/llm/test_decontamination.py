@@ -46,3 +46,23 @@ def test_every_window_is_found(spark, small, documents, odd, monkeypatch, limit)
         kept = dc.drop_contaminated(docs, items)
         assert kept.schema.names == docs.schema.names and kept.count() == sum(not r[5] for r in want)
         assert dc.contamination(docs.limit(0), items).count() == 0 and dc.contamination(odd, items.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def test_one_window_in_very_many_items(spark):
+    """The items of a window set are looked up once, not once for each document and window."""
+    line = "this work is free to use and to share under the same terms as it is"
+    items = spark.range(100_000).selectExpr("id AS item_id", f"'{line}' AS text")
+    docs = spark.range(2_000).selectExpr("id AS doc_id", f"concat('start ', id % 3, ' {line} {line} end') AS text")
+    rows = dc.contamination(docs, items).select("n_hit", "n_items", "items_sha256").distinct().collect()
+    want = hashlib.sha256(",".join(sorted(str(i) for i in range(100_000))).encode()).hexdigest()
+    assert [tuple(r) for r in rows] == [(32, 100_000, want)]
+
+
+def test_minima_by_doubling(spark):
+    from pyspark.sql import functions as F
+
+    values = [5, 3, 9, -2, 7, 7, 1, 8, 0, 4, 6]
+    df = spark.createDataFrame([(values,)], "v array<long>")
+    for span in range(1, 12):
+        got = df.select(dc._minima(F.col("v"), span).alias("m")).first().m[: len(values) - span + 1]
+        assert got == [min(values[i:i + span]) for i in range(len(values) - span + 1)]

@@ -13,10 +13,10 @@ Nulls: a null text has no words and is never contaminated; null item ids are not
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracklens.llm.common import ROW, bound, digest, field_of, lowered, packed, scalar, table, text_of, unpacked
+from tracklens.llm.common import bound, digest, field_of, join_on_group, lowered, packed, scalar, table, text_of, unpacked
 from tracklens.session import stage_table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 GRAM = 5
 BROADCAST_ANCHORS = 1_000_000
@@ -26,7 +26,8 @@ SHARE = 20
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))
+    """The words of a text: what lies between runs of other characters. Splitting is several times cheaper than extracting."""
+    return F.array_remove(F.split(lowered(text), NOT_WORD, -1), "")
 
 
 def _placed(hash_: Column, place: Column) -> Column:
@@ -34,15 +35,26 @@ def _placed(hash_: Column, place: Column) -> Column:
     return hash_.bitwiseAND(F.lit(((1 << 63) - 1) & ~PLACES)).bitwiseOR(place.cast("long").bitwiseAND(F.lit(PLACES)))
 
 
+def _minima(values: Column, span: int) -> Column:
+    """The smallest of every `span` neighbours, by doubling; the last span - 1 places see fewer and come out too."""
+    def doubled(v: Column, width: int) -> Column:
+        if width == span:
+            return v
+        step = min(width, span - width)
+        return bound(F.zip_with(v, F.slice(v, F.lit(step + 1), F.size(v)), lambda x, y: F.least(x, y)), lambda w: doubled(w, width + step))
+
+    return bound(values, lambda v: doubled(v, 1))
+
+
 def winnowed(words: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
-    """Selected K-grams of a word array, each once; empty below a window's length."""
+    """Selected K-grams of a word array, each once; empty below a window's length. A word is hashed once, its K-grams from the hashes."""
     span = window - gram + 1
 
-    def grams(w: Column) -> Column:
-        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - gram), lambda i: _placed(F.xxhash64(F.lit(window), *[F.get(w, i + k) for k in range(gram)]), i))
-        return bound(hashed, lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - span + 1), lambda i: F.array_min(F.slice(h, i, span)))))
+    def grams(h: Column) -> Column:
+        hashed = F.transform(F.sequence(F.lit(0), F.size(h) - gram), lambda i: _placed(F.xxhash64(F.lit(window), *[F.get(h, i + k) for k in range(gram)]), i))
+        return F.array_distinct(bound(_minima(hashed, span), lambda m: F.slice(m, 1, F.size(m) - span + 1)))
 
-    return F.when(F.size(words) >= window, bound(words, grams)).otherwise(F.array().cast("array<long>"))
+    return F.when(F.size(words) >= window, bound(F.transform(words, lambda w: F.xxhash64(w)), grams)).otherwise(F.array().cast("array<long>"))
 
 
 def whole_grams(words: Column, length: int) -> Column:
@@ -57,13 +69,11 @@ def _run_digest(words: Column, start: Column, length: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Every distinct window of the benchmark: digest, length in words and the items that hold it."""
+    """Every distinct pair of a window of the benchmark, by its digest, and an item that holds it."""
     rows = packed(items).select(field_of(item_id).cast("string").alias("item_"), words_of(text_of(text)).alias("words_")).filter(F.size("words_") > 0)
     sized = rows.withColumn("length_", F.least(F.size("words_"), F.lit(window)))
     starts = sized.withColumn("start_", F.explode(F.sequence(F.lit(0), F.size("words_") - F.col("length_"))))
-    return starts.groupBy(_run_digest(F.col("words_"), F.col("start_"), F.col("length_")).alias("window_")).agg(
-        F.first("length_").alias("length_"), F.collect_set("item_").alias("items_")
-    )
+    return starts.select(_run_digest(F.col("words_"), F.col("start_"), F.col("length_")).alias("window_"), "item_").distinct()
 
 
 def benchmark_anchors(items: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -104,14 +114,16 @@ def _hit_windows(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item
     return starts.select("id_", "sha_", "length_", "start_", _run_digest(F.col("words_"), F.col("start_"), F.col("length_")).alias("window_"))
 
 
-def hits_per_document(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Documents that hold a benchmark window, by id_ and sha_ of the text: spans_ (sorted start and length), n_hit_, items_ (sorted)."""
-    windows = stage_table(benchmark_windows(items, item_id, item_text, window), "windows")
-    size = scalar(windows.agg(F.count(F.lit(1)), F.sum(F.size("items_"))))
-    side = F.broadcast(windows) if (size[0] + (size[1] or 0)) <= BROADCAST_ANCHORS else windows
-    found = _hit_windows(docs, items, doc_id, text, item_text, window, gram).join(side.select("window_", "items_"), "window_")
+def hits_per_document(docs: DataFrame, pairs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Documents that hold a benchmark window, by id_ and sha_ of the text: spans_ (sorted start and length), n_hit_, windows_ (sorted digests).
+
+    `pairs` are the staged windows and items of the benchmark.
+    """
+    windows = pairs.select("window_").distinct()
+    side = F.broadcast(windows) if pairs.count() <= BROADCAST_ANCHORS else windows
+    found = _hit_windows(docs, items, doc_id, text, item_text, window, gram).join(side, "window_", "left_semi")
     per_doc = found.groupBy("id_", "sha_").agg(
-        F.array_sort(F.collect_set(F.struct("start_", "length_"))).alias("spans_"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items_")))).alias("items_")
+        F.array_sort(F.collect_set(F.struct("start_", "length_"))).alias("spans_"), F.array_sort(F.collect_set("window_")).alias("windows_")
     )
     covered = F.aggregate(
         "spans_", F.struct(F.lit(0).alias("end_"), F.lit(0).cast("long").alias("n_")),
@@ -120,7 +132,22 @@ def hits_per_document(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
             (acc["n_"] + F.greatest(F.lit(0), s["start_"] + s["length_"] - F.greatest(acc["end_"], s["start_"]))).cast("long").alias("n_"),
         ),
     )
-    return per_doc.select("id_", "sha_", "spans_", covered["n_"].alias("n_hit_"), "items_")
+    return per_doc.select("id_", "sha_", "spans_", covered["n_"].alias("n_hit_"), "windows_")
+
+
+def hit_items(hits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Staged hits with n_items_ and items_sha_, the SHA-256 of the sorted items, comma-joined.
+
+    Documents with the same windows have the same items, so items are looked up once for each distinct set of windows, as (set, item) pairs.
+    """
+    keyed = hits.withColumn("set_", F.unhex(F.sha2(F.array_join(F.transform("windows_", lambda w: F.hex(w)), ""), 256)))
+    sets = stage_table(keyed.groupBy("set_").agg(F.first("windows_").alias("windows_"), F.count(F.lit(1)).alias("docs_")), "sets")
+    members = sets.select("set_", F.explode("windows_").alias("window_")).join(pairs, "window_").select("set_", "item_").filter("item_ IS NOT NULL").distinct()
+    listed = members.groupBy("set_").agg(F.array_sort(F.collect_list("item_")).alias("items_"))
+    named = listed.select("set_", F.size("items_").cast("long").alias("n_items_"), F.sha2(F.array_join("items_", ","), 256).alias("items_sha_"))
+    facts = stage_table(sets.select("set_", "docs_").join(named, "set_"), "items")
+    total = scalar(facts.agg(F.sum("docs_")))[0] or 0
+    return stage_table(join_on_group(keyed.drop("windows_", "spans_"), facts, "set_", "docs_", ["n_items_", "items_sha_"], total, ["id_", "sha_"]).drop("set_"), "named")
 
 
 def _contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -128,25 +155,27 @@ def _contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit spans in words."""
-    hits = stage_table(hits_per_document(docs, items, doc_id, text, item_id, item_text), "hits")
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    pairs = stage_table(benchmark_windows(items, item_id, item_text), "windows")
+    hits = hit_items(stage_table(hits_per_document(docs, pairs, items, doc_id, text, item_text), "hits"), pairs)
     rows = packed(docs).select(
-        field_of(doc_id).alias("doc_id"), digest(text_of(text)).alias("text_sha_"), F.regexp_count(lowered(text_of(text)), F.lit(WORD)).cast("long").alias("n_words")
+        field_of(doc_id).alias("doc_id"), digest(text_of(text)).alias("text_sha_"), F.size(words_of(text_of(text))).cast("long").alias("n_words")
     )
     joined = rows.join(hits, F.expr("doc_id <=> id_ AND text_sha_ = sha_"), "left")
     n_hit = F.coalesce("n_hit_", F.lit(0).cast("long"))
     return joined.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items_"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items_", ","), F.lit("")), 256).alias("items_sha256"), _contaminated(n_hit, F.col("n_words")).alias("contaminated"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items_", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha_", F.sha2(F.lit(""), 256)).alias("items_sha256"), _contaminated(n_hit, F.col("n_words")).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    hits = stage_table(hits_per_document(docs, items, doc_id, text).select("id_", "sha_", "n_hit_"), "hits")
+    pairs = stage_table(benchmark_windows(items), "windows")
+    hits = stage_table(hits_per_document(docs, pairs, items, doc_id, text).select("id_", "sha_", "n_hit_"), "hits")
     base = packed(docs)
     joined = base.join(hits, field_of(doc_id).eqNullSafe(F.col("id_")) & (digest(text_of(text)) == F.col("sha_")), "left")
-    n_words = F.regexp_count(lowered(text_of(text)), F.lit(WORD))
+    n_words = F.size(words_of(text_of(text)))
     return joined.filter(F.col("n_hit_").isNull() | ~_contaminated(F.col("n_hit_"), n_words)).select(*unpacked(joined, docs))
 
 
