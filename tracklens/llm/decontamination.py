@@ -20,6 +20,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 GRAM = 5
 BROADCAST_ANCHORS = 1_000_000
+STRETCH = 64
 PLACE_BITS = 24
 PLACES = (1 << PLACE_BITS) - 1
 SHARE = 20
@@ -31,7 +32,7 @@ def words_of(text: Column) -> Column:
 
 
 def _placed(hash_: Column, place: Column) -> Column:
-    """Hash in the upper bits, place in the text (modulo 2^24) in the lower ones; the smallest is the leftmost of the smallest."""
+    """Hash in the upper bits, place in the text in the lower ones; the smallest is the leftmost of the smallest."""
     return hash_.bitwiseAND(F.lit(((1 << 63) - 1) & ~PLACES)).bitwiseOR(place.cast("long").bitwiseAND(F.lit(PLACES)))
 
 
@@ -86,11 +87,18 @@ def benchmark_anchors(items: DataFrame, text: str = "text", window: int = WINDOW
 
 
 def _window_starts(n_words: Column, length: Column, place: Column, window: int, gram: int) -> Column:
-    """Starts of all windows that can hold an anchor at `place`, one anchor in every 2^24 words."""
+    """Starts of all windows that can hold an anchor at `place`."""
     back = F.when(length == window, F.lit(window - gram)).otherwise(F.lit(0))
-    around = F.transform(F.sequence(F.lit(0), F.shiftright(n_words, PLACE_BITS)), lambda lap: lap * F.lit(1 << PLACE_BITS) + place.cast("int"))
-    each = F.flatten(F.transform(around, lambda p: F.sequence(p - back, p)))
-    return F.filter(each, lambda s: (s >= 0) & (s <= n_words - length))
+    return F.filter(F.sequence(place - back, place), lambda s: (s >= 0) & (s <= n_words - length))
+
+
+def _stretches(worded: DataFrame, window: int) -> DataFrame:
+    """Texts as stretches of STRETCH words and the window - 1 words after them, with the place `offset_` of the first: every window lies in one.
+
+    What follows copies a stretch for each of its marks, so the work grows with a text's length and not with its square.
+    """
+    cut = F.transform(F.sequence(F.lit(0), F.size("words_") - 1, F.lit(STRETCH)), lambda i: F.struct(i.alias("offset_"), F.slice("words_", i + 1, STRETCH + window - 1).alias("words_")))
+    return worded.filter(F.size("words_") > 0).select("id_", "sha_", F.explode(cut).alias("s_")).select("id_", "sha_", "s_.*")
 
 
 def _hit_windows(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_text: str, window: int, gram: int) -> DataFrame:
@@ -98,20 +106,21 @@ def _hit_windows(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item
     anchors = stage_table(benchmark_anchors(items, item_text, window, gram), "anchors")
     shorter = [r.length_ for r in anchors.select("length_").distinct().filter(F.col("length_") < window).collect()]
     base = packed(docs).select(field_of(doc_id).alias("id_"), text_of(text).alias("text_"))
-    worded = base.select("id_", digest(F.col("text_")).alias("sha_"), words_of(F.col("text_")).alias("words_"))
+    worded = _stretches(base.select("id_", digest(F.col("text_")).alias("sha_"), words_of(F.col("text_")).alias("words_")), window)
     marks = F.concat(winnowed(F.col("words_"), window, gram), *[whole_grams(F.col("words_"), n) for n in sorted(shorter)])
-    marked = worded.select("id_", "sha_", "words_", marks.alias("marks_"))
+    marked = worded.select("id_", "sha_", "offset_", "words_", marks.alias("marks_"))
     key = F.shiftright("placed_", PLACE_BITS) == F.col("anchor_")
-    place = F.col("placed_").bitwiseAND(F.lit(PLACES))
+    place = F.col("placed_").bitwiseAND(F.lit(PLACES)).cast("int")
     if anchors.count() <= BROADCAST_ANCHORS:
-        hits = marked.select("id_", "sha_", "words_", F.explode("marks_").alias("placed_")).join(F.broadcast(anchors), key)
+        hits = marked.select("id_", "sha_", "offset_", "words_", F.explode("marks_").alias("placed_")).join(F.broadcast(anchors), key)
     else:
-        found = marked.select("id_", "sha_", F.explode("marks_").alias("placed_")).join(anchors, key).select("id_", "sha_", "length_", "placed_").distinct()
-        places = found.groupBy("id_", "sha_").agg(F.collect_list(F.struct("length_", "placed_")).alias("found_"))
-        once = worded.dropDuplicates(["id_", "sha_"])
-        hits = once.alias("d").join(places.alias("p"), F.expr("d.id_ <=> p.id_ AND d.sha_ = p.sha_")).select("d.id_", "d.sha_", "words_", F.explode("found_").alias("f_")).select("id_", "sha_", "words_", "f_.*")
-    starts = hits.withColumn("start_", F.explode(_window_starts(F.size("words_"), F.col("length_"), place, window, gram)))
-    return starts.select("id_", "sha_", "length_", "start_", _run_digest(F.col("words_"), F.col("start_"), F.col("length_")).alias("window_"))
+        found = marked.select("id_", "sha_", "offset_", F.explode("marks_").alias("placed_")).join(anchors, key).select("id_", "sha_", "offset_", "length_", "placed_").distinct()
+        places = found.groupBy("id_", "sha_", "offset_").agg(F.collect_list(F.struct("length_", "placed_")).alias("found_"))
+        once = worded.dropDuplicates(["id_", "sha_", "offset_"])
+        same = F.expr("d.id_ <=> p.id_ AND d.sha_ = p.sha_ AND d.offset_ = p.offset_")
+        hits = once.alias("d").join(places.alias("p"), same).select("d.id_", "d.sha_", "d.offset_", "words_", F.explode("found_").alias("f_")).select("id_", "sha_", "offset_", "words_", "f_.*")
+    starts = hits.withColumn("from_", F.explode(_window_starts(F.size("words_"), F.col("length_"), place, window, gram)))
+    return starts.select("id_", "sha_", "length_", (F.col("offset_") + F.col("from_")).alias("start_"), _run_digest(F.col("words_"), F.col("from_"), F.col("length_")).alias("window_"))
 
 
 def hits_per_document(docs: DataFrame, pairs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
