@@ -15,6 +15,7 @@ patterns are possessive, so neither long digit runs nor long words cost more tha
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracklens.llm.common import ROW, bound, digest, field_of, join_on_group, packed, scalar, table, text_of
+from tracklens.llm.exact_dedup import flag_repeated, repeated_filter
 from tracklens.llm.spans import matches
 from tracklens.session import stage_table
 
@@ -93,43 +94,63 @@ def _most_texts(n: Column | float, with_entity: Column) -> Column:
     return F.pow(F.lit(n), F.lit(1 - DISCLOSURE)) * F.pow(with_entity, F.lit(DISCLOSURE)) * (1 + 1e-9)
 
 
-def revealing_terms(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Terms above the threshold with their disclosure, and the documents that hold them.
+def _spotted(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Staged facts of each row (id_, sha_, line_, spans_, and text_ where it has base spans), and the rows id_, sha_, text_, maybe_.
 
-    `texts` has sha_, text_ and spans_ of documents with base spans. A term and an entity meet in every text that holds both, at any distance.
-    Terms and entities are counted over distinct texts first; those that cannot reach the support or the threshold with
-    any entity leave before pairs are made. Returns (term_, disclosure_), staged, and (id_, sha_, term_).
+    `maybe_` is false for texts that the Bloom filter shows to occur once; only the others ever travel to meet their copies.
+    """
+    base = packed(docs).select(field_of(doc_id).alias("id_"), digest(text_of(text)).alias("sha_"), F.xxhash64(text_of(text)).alias("hash_"), text_of(text).alias("text_"))
+    found = base.withColumn("spans_", base_spans(F.col("text_"))).withColumn("line_", F.monotonically_increasing_id())
+    facts = stage_table(found.withColumn("text_", F.when(F.size("spans_") > 0, F.col("text_"))), "facts")
+    rows = facts.count()
+    blocks, size = repeated_filter(facts.select("hash_"), rows)
+    return flag_repeated(facts, blocks, size, rows), flag_repeated(base, blocks, size, rows).drop("hash_")
+
+
+def _distinct_texts(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row of each text: those that occur once stay where they are."""
+    few = rows.filter("maybe_").select("sha_", *columns).dropDuplicates(["sha_"]).select(*columns)
+    return rows.filter("NOT maybe_").select(*columns).unionByName(few)
+
+
+def revealing_terms(facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Staged terms above the threshold with their disclosure: term_, disclosure_.
+
+    A term and an entity meet in every distinct text that holds both, at any distance. Terms and entities are counted over distinct texts first; those
+    that cannot reach the support or the threshold with any entity leave before pairs are made. Pairs carry numbers of texts and entities.
     """
-    # Copies meet before their words are cut, so a text travels once and a term's count is combined before its shuffle.
     distinct_terms = F.array_distinct(_terms(F.col("text_")))
-    once = docs.groupBy("sha_").agg(F.first("text_").alias("text_"))
-    by_term = once.select(F.explode(distinct_terms).alias("term_")).groupBy("term_").agg(F.count(F.lit(1)).alias("with_term_"))
-    words = docs.select("id_", "sha_", F.explode(distinct_terms).alias("term_"))
-    n = float(scalar(docs.agg(F.count_distinct("sha_")))[0] or 1) + 1.0
-    held = texts.select("sha_", F.explode("spans_").alias("s_")).select("sha_", F.concat_ws(":", "s_.kind", F.lower("s_.value")).alias("entity_"))
-    entities = stage_table(held.distinct(), "entities")
-    by_entity = stage_table(entities.groupBy("entity_").agg(F.count(F.lit(1)).alias("with_entity_")).filter(F.col("with_entity_") >= SUPPORT), "counts")
+    by_term = _distinct_texts(texts, "text_").select(F.explode(distinct_terms).alias("term_")).groupBy("term_").agg(F.count(F.lit(1)).alias("with_term_"))
+    n = float(scalar(facts.agg(F.count_distinct("sha_")))[0] or 1) + 1.0
+    # Of equal texts the staged one with the smallest line stands for all.
+    spotted = facts.filter("text_ IS NOT NULL")
+    lines = spotted.filter("maybe_").groupBy("sha_").agg(F.min("line_").alias("line_")).select("line_").unionByName(spotted.filter("NOT maybe_").select("line_"))
+    once = stage_table(lines, "once")
+    chosen = spotted.join(once, "line_", "left_semi")
+    entities = stage_table(chosen.select("line_", F.explode("spans_").alias("s_")).select("line_", F.concat_ws(":", "s_.kind", F.lower("s_.value")).alias("entity_")).distinct(), "entities")
+    counted = entities.groupBy("entity_").agg(F.count(F.lit(1)).alias("with_entity_")).filter(F.col("with_entity_") >= SUPPORT)
+    by_entity = stage_table(counted.withColumn("number_", F.monotonically_increasing_id()), "counts")
     size, most = scalar(by_entity.agg(F.sum("with_entity_"), F.max("with_entity_")))
-    known = stage_table(join_on_group(entities, by_entity, "entity_", "with_entity_", ["with_entity_"], size or 0, ["sha_"]).filter("with_entity_ IS NOT NULL"), "known")
-    own = texts.select("sha_", "text_").join(known.select("sha_").distinct(), "sha_", "left_semi").dropDuplicates(["sha_"])
+    known = stage_table(join_on_group(entities, by_entity, "entity_", "with_entity_", ["with_entity_", "number_"], size or 0, ["line_"]).filter("number_ IS NOT NULL").drop("entity_"), "known")
+    own = chosen.join(known.select("line_").distinct(), "line_", "left_semi")
     able = by_term.filter((F.col("with_term_") >= SUPPORT) & (F.col("with_term_") <= _most_texts(n, F.lit(float(most or 0)))))
-    beside = own.select("sha_", F.explode(_outside(F.col("text_"))).alias("term_")).join(able, "term_")
-    met = beside.join(known, "sha_").filter(F.col("with_term_") <= _most_texts(n, F.col("with_entity_")))
-    pairs = met.groupBy("entity_", "term_").agg(F.count(F.lit(1)).alias("both_"), F.first("with_term_").alias("with_term_"), F.first("with_entity_").alias("with_entity_")).filter(F.col("both_") >= SUPPORT)
+    beside = own.select("line_", F.explode(_outside(F.col("text_"))).alias("term_")).join(able, "term_")
+    met = beside.join(known, "line_").filter(F.col("with_term_") <= _most_texts(n, F.col("with_entity_")))
+    pairs = met.groupBy("number_", "term_").agg(F.count(F.lit(1)).alias("both_"), F.first("with_term_").alias("with_term_"), F.first("with_entity_").alias("with_entity_")).filter(F.col("both_") >= SUPPORT)
     pmi = F.log(F.col("both_") * n / (F.col("with_term_") * F.col("with_entity_")))
-    scored = pairs.select("term_", "entity_", (pmi / F.log(n / F.col("with_entity_"))).alias("disclosure_")).filter(F.col("disclosure_") >= DISCLOSURE)
-    terms = stage_table(scored.groupBy("term_").agg(F.max("disclosure_").alias("disclosure_")), "revealing")
-    few = terms.count() <= BROADCAST_TERMS
-    return terms, words.join(F.broadcast(terms.select("term_")) if few else terms.select("term_"), "term_", "left_semi")
+    scored = pairs.select("term_", (pmi / F.log(n / F.col("with_entity_"))).alias("disclosure_")).filter(F.col("disclosure_") >= DISCLOSURE)
+    return stage_table(scored.groupBy("term_").agg(F.max("disclosure_").alias("disclosure_")), "revealing")
 
 
-def _found(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Documents (row_, id_, sha_, text_) and, staged by (id_, sha_), the revealing terms that each of them holds."""
-    base = packed(docs).select(ROW, field_of(doc_id).alias("id_"), digest(text_of(text)).alias("sha_"), text_of(text).alias("text_"))
-    spotted = base.select("sha_", "text_", base_spans(F.col("text_")).alias("spans_")).filter(F.size("spans_") > 0)
-    _, held = revealing_terms(base.select("id_", "sha_", "text_"), spotted)
-    mine = held.groupBy("id_", "sha_").agg(F.array_sort(F.collect_set("term_")).alias("terms_"))
-    return base, stage_table(mine, "mine")
+def _added(facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Staged spans of revealing terms by text: sha_, added_, copies_ (rows of that text). Each distinct text is searched once."""
+    terms = revealing_terms(facts, texts).select("term_")
+    few = terms.count() <= BROADCAST_TERMS
+    words = _distinct_texts(texts.withColumn("sha_2_", F.col("sha_")), "sha_2_", "text_").select(F.col("sha_2_").alias("sha_"), F.explode(F.array_distinct(_terms(F.col("text_")))).alias("term_"))
+    held = words.join(F.broadcast(terms) if few else terms, "term_", "left_semi").groupBy("sha_").agg(F.array_sort(F.collect_set("term_")).alias("terms_"))
+    mine = stage_table(held.join(facts.groupBy("sha_").agg(F.count(F.lit(1)).alias("copies_")), "sha_"), "mine")
+    chosen = _distinct_texts(texts.join(mine.select(F.col("sha_").alias("mine_"), "terms_", "copies_"), F.col("sha_") == F.col("mine_")), "mine_", "text_", "terms_", "copies_")
+    return stage_table(chosen.select(F.col("mine_").alias("sha_"), "copies_", term_spans(F.col("text_"), F.col("terms_")).alias("added_")), "added")
 
 
 def _count(spans: str, kind: str) -> Column:
@@ -138,24 +159,21 @@ def _count(spans: str, kind: str) -> Column:
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    base, mine = _found(docs, doc_id, text)
-    plain = base.select("id_", "sha_", base_spans(F.col("text_")).alias("spans_"))
-    own = mine.select(F.col("id_").alias("mine_id_"), F.col("sha_").alias("mine_sha_"), "terms_")
-    texts = base.select("id_", "sha_", "text_").join(own, F.expr("id_ <=> mine_id_ AND sha_ = mine_sha_")).dropDuplicates(["id_", "sha_"])
-    added = texts.select(F.col("id_").alias("added_id_"), F.col("sha_").alias("added_sha_"), term_spans(F.col("text_"), F.col("terms_")).alias("added_"))
-    joined = plain.join(added, F.expr("id_ <=> added_id_ AND sha_ = added_sha_"), "left")
-    every = F.array_sort(F.concat("spans_", F.coalesce("added_", F.array().cast(plain.schema["spans_"].dataType))))
+    facts, texts = _spotted(docs, doc_id, text)
+    added = _added(facts, texts)
+    joined = join_on_group(facts.select("id_", "sha_", "line_", "spans_"), added, "sha_", "copies_", ["added_"], facts.count(), ["line_"])
+    every = F.array_sort(F.concat("spans_", F.coalesce("added_", F.array().cast(facts.schema["spans_"].dataType))))
     counts = [_count("spans_", kind).alias(f"n_{kind}") for kind in KINDS]
     return joined.select(F.col("id_").alias("doc_id"), *counts, F.sha2(joined_spans(F.col("spans_")), 256).alias("base_sha256"), joined_spans(every).alias("spans"))
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with base spans and revealing terms replaced by their kind in brackets; other columns stay as they are."""
-    base, mine = _found(docs, doc_id, text)
-    own = mine.select(F.col("id_").alias("mine_id_"), F.col("sha_").alias("mine_sha_"), "terms_")
-    joined = base.join(own, F.expr("id_ <=> mine_id_ AND sha_ = mine_sha_"), "left")
-    none = F.array().cast("array<string>")
-    spans = F.array_sort(F.concat(base_spans(F.col("text_")), term_spans(F.col("text_"), F.coalesce("terms_", none))))
+    facts, texts = _spotted(docs, doc_id, text)
+    added = _added(facts, texts)
+    rows = packed(docs).withColumn("text_", text_of(text)).withColumn("sha_", digest(F.col("text_")))
+    joined = join_on_group(rows, added, "sha_", "copies_", ["added_"], facts.count(), [ROW])
+    spans = F.array_sort(F.concat(base_spans(F.col("text_")), F.coalesce("added_", F.array().cast(facts.schema["spans_"].dataType))))
     walked = F.aggregate(
         "spans_", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(
