@@ -95,7 +95,7 @@ def _most_texts(n: Column | float, with_entity: Column) -> Column:
 
 
 def _spotted(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Staged facts of each row (id_, sha_, line_, spans_, and text_ where it has base spans), and the rows id_, sha_, text_, maybe_.
+    """Staged facts of each row (id_, sha_, line_, spans_, and text_ where it has base spans), and the rows id_, sha_, hash_, text_, maybe_.
 
     `maybe_` is false for texts that the Bloom filter shows to occur once; only the others ever travel to meet their copies.
     """
@@ -104,12 +104,12 @@ def _spotted(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     facts = stage_table(found.withColumn("text_", F.when(F.size("spans_") > 0, F.col("text_"))), "facts")
     rows = facts.count()
     blocks, size = repeated_filter(facts.select("hash_"), rows)
-    return flag_repeated(facts, blocks, size, rows), flag_repeated(base, blocks, size, rows).drop("hash_")
+    return flag_repeated(facts, blocks, size, rows), flag_repeated(base, blocks, size, rows)
 
 
 def _distinct_texts(rows: DataFrame, *columns: str) -> DataFrame:
     """One row of each text: those that occur once stay where they are."""
-    few = rows.filter("maybe_").select("sha_", *columns).dropDuplicates(["sha_"]).select(*columns)
+    few = rows.filter("maybe_").select(*dict.fromkeys(("sha_", *columns))).dropDuplicates(["sha_"]).select(*columns)
     return rows.filter("NOT maybe_").select(*columns).unionByName(few)
 
 
@@ -143,14 +143,20 @@ def revealing_terms(facts: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _added(facts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Staged spans of revealing terms by text: sha_, added_, copies_ (rows of that text). Each distinct text is searched once."""
+    """Staged spans of revealing terms by text: sha_, added_, copies_ (rows of that text). Each distinct text is searched once.
+
+    A second Bloom filter, of the texts that hold a term, keeps all others where they are.
+    """
     terms = revealing_terms(facts, texts).select("term_")
     few = terms.count() <= BROADCAST_TERMS
-    words = _distinct_texts(texts.withColumn("sha_2_", F.col("sha_")), "sha_2_", "text_").select(F.col("sha_2_").alias("sha_"), F.explode(F.array_distinct(_terms(F.col("text_")))).alias("term_"))
-    held = words.join(F.broadcast(terms) if few else terms, "term_", "left_semi").groupBy("sha_").agg(F.array_sort(F.collect_set("term_")).alias("terms_"))
+    words = _distinct_texts(texts, "sha_", "hash_", "text_").select("sha_", "hash_", F.explode(F.array_distinct(_terms(F.col("text_")))).alias("term_"))
+    held = words.join(F.broadcast(terms) if few else terms, "term_", "left_semi").groupBy("sha_").agg(F.first("hash_").alias("hash_"), F.array_sort(F.collect_set("term_")).alias("terms_"))
     mine = stage_table(held.join(facts.groupBy("sha_").agg(F.count(F.lit(1)).alias("copies_")), "sha_"), "mine")
-    chosen = _distinct_texts(texts.join(mine.select(F.col("sha_").alias("mine_"), "terms_", "copies_"), F.col("sha_") == F.col("mine_")), "mine_", "text_", "terms_", "copies_")
-    return stage_table(chosen.select(F.col("mine_").alias("sha_"), "copies_", term_spans(F.col("text_"), F.col("terms_")).alias("added_")), "added")
+    hashes, rows = mine.select("hash_"), mine.count()
+    blocks, size = repeated_filter(hashes.union(hashes), rows)  # every position is set twice, so the filter is one of members
+    near = flag_repeated(texts.withColumnRenamed("maybe_", "copied_"), blocks, size, rows).filter("maybe_").drop("maybe_").withColumnRenamed("copied_", "maybe_")
+    chosen = _distinct_texts(near, "sha_", "text_").join(mine.drop("hash_"), "sha_")
+    return stage_table(chosen.select("sha_", "copies_", term_spans(F.col("text_"), F.col("terms_")).alias("added_")), "added")
 
 
 def _count(spans: str, kind: str) -> Column:
