@@ -1,11 +1,16 @@
-"""Near-duplicates by an exact bound on similarity: Jaccard of word 5-shingles >= 4/5.
+"""Near-duplicates of a pipeline stage: SimHash links from the vantage-point forest, an exact check, and an exact way for what they miss.
 
-Two texts with n and m >= n shingles and Jaccard >= 4/5 share over m * 4/5 of them, so the first n - ceil(n * 4/5) + 1 shingles of
-both, in any order that all texts have in common, share one (prefix filter). No link is lost, whatever the order; shingles that are frequent in a
-sample of texts come last in it, so few texts meet. SimHash cannot give this: at Jaccard 4/5 fingerprints lie 10 bits apart, give or take 3, and
-a radius that holds nearly all of them (18) leaves a vantage-point tree nothing to prune.
+Texts are linked at Jaccard >= 4/5 of their word 5-shingles. Candidates come from two places:
 
-Texts that meet are compared exactly. First each is compared to the shortest of those it meets, which is linear; texts
+* Fingerprints over the 5-shingles go through the forest of `simhash.py`, which gives all classes within `RADIUS` bits. At Jaccard 4/5
+  fingerprints lie 10 bits apart, give or take 3, and a radius that holds nearly all of them (18) leaves a tree nothing to prune, so the
+  forest finds the closer copies only.
+* The rest comes from a prefix filter. Two texts with n and m >= n shingles above the bound share over m * 4/5 of them, so the first n - ceil(n * 4/5) + 1
+  shingles of both, in any order that all texts have in common, share one. No link is lost, whatever the order; shingles that are frequent in a sample of
+  texts come last in it, so few texts meet.
+
+Every candidate is checked. A parity bitmap of the shingles gives a lower bound of the symmetric difference, so most pairs below 4/5 end
+there; whole shingle sets are compared for the others only. Texts are first compared to the shortest of those that they meet, which is linear; texts
 that are connected by then are done. Pairs of different components that still share a prefix shingle come second. A crowd of texts that share
 prefixes but stay below the bound is compared pair by pair.
 
@@ -16,7 +21,9 @@ are one point, named by a 64-bit hash. A null doc_id is never the smallest of a
 from pyspark.sql import DataFrame, functions as F
 
 from tracklens.llm.common import ROW, field_of, join_on_group, packed, text_of, unpacked
+from tracklens.llm.exact_dedup import flag_repeated, repeated_filter
 from tracklens.llm.graph import components
+from tracklens.llm.simhash import link_edges
 from tracklens.session import stage_table
 
 SHINGLE = 5
@@ -25,10 +32,18 @@ SAMPLE = 4000
 FREQUENT = 200_000
 LEAST_ROWS = 50_000
 CHUNK = 1 << 20
+PARITY_BITS = 1024
 
 
 def shingle_set(text: str):
-    """The distinct word shingles of a text as sorted 64-bit hashes; words and case as in `simhash.fingerprint`."""
+    """The distinct word shingles of a text as sorted 64-bit hashes."""
+    import numpy as np
+
+    return np.unique(shingles_of(text))
+
+
+def shingles_of(text: str):
+    """The word shingles of a text, repeats included, as 64-bit hashes; words and case as in `simhash.fingerprint`."""
     import numpy as np
     import xxhash
 
@@ -44,7 +59,25 @@ def shingle_set(text: str):
         out = (out ^ hashes[i:i + total]) * np.uint64(0x9E3779B97F4A7C15)
         out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def _fingerprint(shingles) -> int:
+    """SimHash of the shingles: a bit is set if it is set in over half of the hashes."""
+    import numpy as np
+
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), CHUNK):
+        counts += np.unpackbits(shingles[at:at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+
+
+def _parity(distinct):
+    """A bit for each residue of the hashes, set if an odd number of them has it: two bitmaps differ in no more bits than the sets in members."""
+    import numpy as np
+
+    odd = np.bincount((distinct % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
 def _node(shingles) -> int:
@@ -75,12 +108,13 @@ def _hashed(df: DataFrame, schema: str, made) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [made(shingle_set(t.as_py())) for t in batch.column(batch.num_columns - 1)]
-            more = [pa.array(c, pa.list_(pa.int64()) if k == len(names) - 1 else pa.int64()) for k, c in enumerate(zip(*rows))] if rows else []
+            rows = [made(shingles_of(t.as_py())) for t in batch.column(batch.num_columns - 1)]
+            more = [pa.array(c, type_) for type_, c in zip(types, zip(*rows))] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], *names])
 
-    names = [c.split()[0] for c in schema.split(", ")]
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    types = [pa.list_(pa.int64()) if k.startswith("array") else pa.int64() for k in kinds]
     kept = df.drop("text_").schema
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), schema]))
 
@@ -97,7 +131,7 @@ def _frequent(texts: DataFrame):
 
     every = max(1, texts.count() // SAMPLE)
     sample = texts.filter(F.pmod(F.xxhash64(F.lit("sample"), "mark_"), F.lit(every)) == 0).select("text_")
-    held = _hashed(sample, "set_ array<long>", lambda s: (_signed(s),)).select(F.explode("set_").alias("token_"))
+    held = _hashed(sample, "set_ array<long>", lambda s: (_signed(np.unique(s)),)).select(F.explode("set_").alias("token_"))
     counted = held.groupBy("token_").agg(F.count(F.lit(1)).alias("n_")).filter("n_ > 1").orderBy(F.desc("n_"), "token_").limit(FREQUENT).collect()
     tokens = np.array([r.token_ for r in counted], np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -184,30 +218,74 @@ def _crossing(tokens, sizes, nodes, roots):
         yield np.concatenate(left), np.concatenate(right)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
-    """The staged pairs a_, b_ whose Jaccard reaches the bound, by the whole sets of both."""
-    ends = {side: pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n_")) for side in ("a_", "b_")}
-    used = ends["a_"].select(F.col("a_").alias("node_")).union(ends["b_"].select("b_")).distinct()
-    marks = stage_table(prints.join(used, "node_", "left_semi").groupBy("node_").agg(F.min("mark_").alias("one_mark_")), "marks")
-    chosen = texts.join(marks.select("one_mark_"), F.col("mark_") == F.col("one_mark_"), "left_semi").select("text_")
-    sets = _hashed(chosen, "node_ long, set_ array<long>", lambda s: (_node(s), _signed(s)))
-    sets = stage_table(sets.dropDuplicates(["node_"]), "sets")
-    total = max(pairs.count(), LEAST_ROWS)
-    joined = pairs
+def _with_both(pairs: DataFrame, facts: DataFrame, values: list[str]) -> DataFrame:
+    """The pairs a_, b_ with the values of both nodes (`facts` has one row a node), as `<value>a_` and `<value>b_`."""
+    total, joined = max(pairs.count(), LEAST_ROWS), pairs
     for side, other in (("a_", "b_"), ("b_", "a_")):
-        groups = sets.join(ends[side], F.col("node_") == F.col(side)).select(side, "n_", F.col("set_").alias(f"set{side}"))
-        joined = join_on_group(joined, groups, side, "n_", [f"set{side}"], total, [other])
-    both = F.size(F.array_intersect("seta_", "setb_"))
-    return stage_table(joined.filter(both * (SHARE + OF) >= (F.size("seta_") + F.size("setb_")) * SHARE).select("a_", "b_"), "links")
+        met = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n_"))
+        groups = facts.join(met, F.col("node_") == F.col(side)).select(side, "n_", *[F.col(v).alias(f"{v}{side}") for v in values])
+        joined = join_on_group(joined, groups, side, "n_", [f"{v}{side}" for v in values], total, [other])
+    return joined
+
+
+def _used(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a_").alias("node_")).union(pairs.select("b_")).distinct()
+
+
+def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The staged pairs whose parity bitmaps leave a Jaccard at the bound possible: |A xor B| <= (|A| + |B|) (1 - J) / (1 + J)."""
+    facts = prints.join(_used(pairs), "node_", "left_semi").groupBy("node_").agg(F.first("size_").alias("size_"), F.first("bits_").alias("bits_"))
+    joined = _with_both(pairs, stage_table(facts, "bitmaps"), ["size_", "bits_"])
+    apart = F.aggregate(F.zip_with("bits_a_", "bits_b_", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
+    return stage_table(joined.filter(apart * (OF + SHARE) <= (F.col("size_a_") + F.col("size_b_")) * (OF - SHARE)).select("a_", "b_"), "near")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """The staged pairs a_, b_ whose Jaccard reaches the bound, by the whole sets of both.
+
+    Sets are made again from one text of each node; a Bloom filter of these texts' marks keeps all others where they are.
+    """
+    import numpy as np
+
+    near = _near(pairs, prints)
+    marks = stage_table(prints.join(_used(near), "node_", "left_semi").groupBy("node_").agg(F.min("mark_").alias("hash_")), "marks")
+    hashes, rows = marks.select("hash_"), marks.count()
+    blocks, size = repeated_filter(hashes.union(hashes), rows)  # every position is set twice, so the filter is one of members
+    likely = flag_repeated(texts.select(F.col("mark_").alias("hash_"), "text_"), blocks, size, rows).filter("maybe_").select("hash_", "text_")
+    chosen = likely.join(hashes, "hash_", "left_semi").select("text_")
+    sets = _hashed(chosen, "node_ long, set_ array<long>", lambda s: (_node(np.unique(s)), _signed(np.unique(s))))
+    joined = _with_both(near, stage_table(sets.dropDuplicates(["node_"]), "sets"), ["set_"])
+    both = F.size(F.array_intersect("set_a_", "set_b_"))
+    return stage_table(joined.filter(both * (SHARE + OF) >= (F.size("set_a_") + F.size("set_b_")) * SHARE).select("a_", "b_"), "links")
+
+
+def _fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Staged candidates from the forest: each node with the first of its fingerprint, and the first ones of linked fingerprints."""
+    nodes = stage_table(prints.select("fp_", "node_").distinct(), "nodes")
+    first = stage_table(nodes.groupBy("fp_").agg(F.min("node_").alias("first_"), F.count(F.lit(1)).alias("n_")), "first")
+    same = join_on_group(nodes, first.filter("n_ > 1"), "fp_", "n_", ["first_"], max(nodes.count(), LEAST_ROWS), ["node_"]).filter("first_ < node_").select(F.col("first_").alias("a_"), F.col("node_").alias("b_"))
+    edges = stage_table(link_edges(first.select("fp_")).distinct(), "forest")
+    named = first.select("fp_", "first_")
+    left = edges.join(named, F.col("a_") == F.col("fp_")).select(F.col("first_").alias("one_"), "b_")
+    across = left.join(named, F.col("b_") == F.col("fp_")).select(F.least("one_", "first_").alias("a_"), F.greatest("one_", "first_").alias("b_"))
+    return stage_table(same.unionByName(across).filter("a_ <> b_").distinct(), "candidates")
+
+
+def _print(shingles, frequent, rank):
+    import numpy as np
+
+    distinct = np.unique(shingles)
+    return _node(distinct), len(distinct), _fingerprint(shingles), _parity(distinct), _signed(_prefix(distinct, frequent, rank))
 
 
 def similar_classes(texts: DataFrame) -> DataFrame:
     """Staged rows id_, mark_, root_ of `texts` (id_, mark_, text_): equal roots are connected by links at or above the bound."""
     frequent, rank = _frequent(texts)
-    prints = stage_table(_hashed(texts, "node_ long, size_ long, prefix_ array<long>", lambda s: (_node(s), len(s), _signed(_prefix(s, frequent, rank)))), "prints")
+    prints = stage_table(_hashed(texts, "node_ long, size_ long, fp_ long, bits_ array<long>, prefix_ array<long>", lambda s: _print(s, frequent, rank)), "prints")
+    candidates = _fingerprint_pairs(prints)
     tokens = prints.select(F.explode("prefix_").alias("token_"), "size_", "node_")
     shared = stage_table(_by_token(tokens, "token_ long, size_ long, node_ long", _shared), "shared")
-    stars = stage_table(_by_token(shared, "a_ long, b_ long", _stars).distinct(), "stars")
+    stars = stage_table(_by_token(shared, "a_ long, b_ long", _stars).unionByName(candidates).distinct(), "stars")
     links = _linked(stars, texts, prints)
     roots = stage_table(components(links), "roots")
     known = roots.select(F.col("node_").alias("known_"), "root_")
