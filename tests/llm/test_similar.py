@@ -46,6 +46,24 @@ def test_stage_keeps_one_of_each_similar_class(spark, small):
     assert got == sorted(kept_by_hand(rows)) and len(got) < len(rows)
 
 
+def test_bitmaps_never_exceed_the_difference(spark):
+    """Folded to one width, two bitmaps differ in no more bits than the sets in members."""
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    pairs = []
+    for n, m in [(1, 1), (500, 520), (512, 513), (600, 750), (1000, 1100), (4000, 4200)]:
+        common = draw.integers(0, 1 << 63, n, dtype=np.uint64)
+        a, b = np.unique(common), np.unique(np.concatenate((common[: n - n // 10], draw.integers(0, 1 << 63, m - n + n // 10, dtype=np.uint64))))
+        pairs.append((similar._parity(a).tolist(), similar._parity(b).tolist(), len(np.setxor1d(a, b))))
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>, apart long")
+    folded = df.select(similar._folded(F.col("a"), F.size("b")).alias("a"), similar._folded(F.col("b"), F.size("a")).alias("b"), "apart").collect()
+    for r in folded:
+        assert len(r.a) == len(r.b)
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(r.a, r.b))
+        assert bits <= r.apart and (bits - r.apart) % 2 == 0
+
+
 def test_given_documents_and_odd_rows(spark, documents, odd):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert {r.doc_id for r in similar.drop_similar(documents).collect()} == kept_by_hand(rows)

@@ -18,7 +18,7 @@ Nulls: a null or empty text has no shingles and equals others of that kind; a te
 are one point, named by a 64-bit hash. A null doc_id is never the smallest of a class unless all are null. Repeated rows give one row.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tracklens.llm.common import ROW, field_of, join_on_group, packed, text_of, unpacked
 from tracklens.llm.exact_dedup import flag_repeated, repeated_filter
@@ -32,7 +32,7 @@ SAMPLE = 4000
 FREQUENT = 200_000
 LEAST_ROWS = 50_000
 CHUNK = 1 << 20
-PARITY_BITS = 1024
+PARITY_BITS = 512  # of the narrowest bitmap
 
 
 def shingle_set(text: str):
@@ -73,10 +73,14 @@ def _fingerprint(shingles) -> int:
 
 
 def _parity(distinct):
-    """A bit for each residue of the hashes, set if an odd number of them has it: two bitmaps differ in no more bits than the sets in members."""
+    """A bit for each residue of the hashes, set if an odd number of them has it: two bitmaps differ in no more bits than the sets in members.
+
+    The width is a power of two and at least the number of shingles; a wider bitmap folds to a narrower one.
+    """
     import numpy as np
 
-    odd = np.bincount((distinct % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    width = max(PARITY_BITS, 1 << max(len(distinct) - 1, 0).bit_length())
+    odd = np.bincount((distinct & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
@@ -232,12 +236,38 @@ def _used(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a_").alias("node_")).union(pairs.select("b_")).distinct()
 
 
+def _folded(bits: Column, width: Column) -> Column:
+    """A bitmap at half its width, where it is wider than `width`. Sizes that can be linked differ by one step at most."""
+    half = F.floor(F.size(bits) / 2).cast("int")
+    return F.when(F.size(bits) > width, F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(bits)
+
+
 def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The staged pairs whose parity bitmaps leave a Jaccard at the bound possible: |A xor B| <= (|A| + |B|) (1 - J) / (1 + J)."""
+    """The staged pairs whose parity bitmaps leave a Jaccard at the bound possible: |A xor B| <= (|A| + |B|) (1 - J) / (1 + J); with that share `apart_`."""
     facts = prints.join(_used(pairs), "node_", "left_semi").groupBy("node_").agg(F.first("size_").alias("size_"), F.first("bits_").alias("bits_"))
     joined = _with_both(pairs, stage_table(facts, "bitmaps"), ["size_", "bits_"])
-    apart = F.aggregate(F.zip_with("bits_a_", "bits_b_", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
-    return stage_table(joined.filter(apart * (OF + SHARE) <= (F.col("size_a_") + F.col("size_b_")) * (OF - SHARE)).select("a_", "b_"), "near")
+    sized = joined.filter(F.least("size_a_", "size_b_") * OF >= F.greatest("size_a_", "size_b_") * SHARE)
+    a, b = _folded(F.col("bits_a_"), F.size("bits_b_")), _folded(F.col("bits_b_"), F.size("bits_a_"))
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+    shares = sized.select("a_", "b_", (apart / F.greatest(F.col("size_a_") + F.col("size_b_"), F.lit(1))).alias("apart_"), apart.alias("bits_"), (F.col("size_a_") + F.col("size_b_")).alias("both_"))
+    return stage_table(shares.filter(F.col("bits_") * (OF + SHARE) <= F.col("both_") * (OF - SHARE)).select("a_", "b_", "apart_"), "near")
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links that connect the candidates' nodes exactly as all links among the candidates do.
+
+    Each node first meets the nearest of its partners by bitmap; of the other pairs only those between different components are checked then.
+    """
+    near = _near(pairs, prints)
+    nearest = near.groupBy("b_").agg(F.min_by("a_", F.struct("apart_", "a_")).alias("a_")).select("a_", "b_")
+    nearest = stage_table(nearest, "nearest")
+    links = _linked(nearest, texts, prints)
+    roots = stage_table(components(links), "roots").select("node_", "root_")
+    rest = near.select("a_", "b_").join(nearest, ["a_", "b_"], "left_anti")
+    for side in ("a_", "b_"):
+        rest = rest.join(roots.select(F.col("node_").alias(side), F.col("root_").alias(f"root_{side}")), side, "left")
+    open_ = stage_table(rest.filter(F.coalesce("root_a_", "a_") != F.coalesce("root_b_", "b_")).select("a_", "b_"), "open")
+    return links if open_.isEmpty() else links.unionByName(_linked(open_, texts, prints))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
@@ -247,16 +277,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
     """
     import numpy as np
 
-    near = _near(pairs, prints)
-    marks = stage_table(prints.join(_used(near), "node_", "left_semi").groupBy("node_").agg(F.min("mark_").alias("hash_")), "marks")
+    marks = stage_table(prints.join(_used(pairs), "node_", "left_semi").groupBy("node_").agg(F.min("mark_").alias("hash_")), "marks")
     hashes, rows = marks.select("hash_"), marks.count()
     blocks, size = repeated_filter(hashes.union(hashes), rows)  # every position is set twice, so the filter is one of members
     likely = flag_repeated(texts.select(F.col("mark_").alias("hash_"), "text_"), blocks, size, rows).filter("maybe_").select("hash_", "text_")
     chosen = likely.join(hashes, "hash_", "left_semi").select("text_")
     sets = _hashed(chosen, "node_ long, set_ array<long>", lambda s: (_node(np.unique(s)), _signed(np.unique(s))))
-    joined = _with_both(near, stage_table(sets.dropDuplicates(["node_"]), "sets"), ["set_"])
+    # Rows repeated in all columns repeat their set and then their pairs, which are made distinct.
+    joined = _with_both(pairs, stage_table(sets, "sets"), ["set_"])
     both = F.size(F.array_intersect("set_a_", "set_b_"))
-    return stage_table(joined.filter(both * (SHARE + OF) >= (F.size("set_a_") + F.size("set_b_")) * SHARE).select("a_", "b_"), "links")
+    return stage_table(joined.filter(both * (SHARE + OF) >= (F.size("set_a_") + F.size("set_b_")) * SHARE).select("a_", "b_").distinct(), "links")
 
 
 def _fingerprint_pairs(prints: DataFrame) -> DataFrame:
@@ -286,13 +316,13 @@ def similar_classes(texts: DataFrame) -> DataFrame:
     tokens = prints.select(F.explode("prefix_").alias("token_"), "size_", "node_")
     shared = stage_table(_by_token(tokens, "token_ long, size_ long, node_ long", _shared), "shared")
     stars = stage_table(_by_token(shared, "a_ long, b_ long", _stars).unionByName(candidates).distinct(), "stars")
-    links = _linked(stars, texts, prints)
+    links = _checked(stars, texts, prints)
     roots = stage_table(components(links), "roots")
     known = roots.select(F.col("node_").alias("known_"), "root_")
     rooted = shared.join(known, F.col("node_") == F.col("known_"), "left").select("token_", "size_", "node_", F.coalesce("root_", "node_").alias("root_"))
     rest = stage_table(_by_token(rooted, "a_ long, b_ long", _crossing).distinct().join(stars, ["a_", "b_"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(_linked(rest, texts, prints))
+        links = links.unionByName(_checked(rest, texts, prints))
         roots = stage_table(components(links), "roots")
     sized = roots.join(prints.groupBy("node_").agg(F.count(F.lit(1)).alias("n_")), "node_")
     return stage_table(join_on_group(prints.select("id_", "mark_", "node_"), sized, "node_", "n_", ["root_"], prints.count(), ["mark_"]).select("id_", "mark_", F.coalesce("root_", "node_").alias("root_")), "keys")
