@@ -1,10 +1,12 @@
 """Streaming queries over the event table, each against its batch definition."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tracklens.config import EVENT_CONFIG as CFG
+from tracklens.operators import targets as tg, ticks as tk
 from tracklens.plans import sql as S
-from tracklens.sources.tables import as_reports, load
+from tracklens.session import stage_table
+from tracklens.sources.tables import as_reports, event_reports, load
 from tracklens.streaming import jobs as J
 
 QUERIES: dict = {}
@@ -32,6 +34,38 @@ _GRID = S.REPORTS + f""", x AS (SELECT *, unnest(range((timestamp_us + {S.STEP -
 ORACLE["str_01_carry_forward"] = f"WITH {_GRID} SELECT airport_id, aircraft_id, k, timestamp_us, altitude_m FROM g"
 
 
+def _keyed_ticks(spark, folder):
+    """Ticks from keyed state, up to the last report of each day as in batch; reports arrive in time order, ten minutes late at most."""
+    J.use_durable_state(spark)
+    reports = event_reports(spark, folder)
+    bounds = tk.day_bounds(reports)
+    anchored = stage_table(reports.join(bounds.drop("t1_us"), tk.DAY), "anchored")
+    out = J.replay_in_order({"reports": anchored}, lambda s: J.keyed_ticks(s["reports"], CFG, "10 minutes"), "keyed")
+    return out.join(bounds.select(*tk.DAY, "t1_us"), tk.DAY).filter(tk.tick_time(CFG) <= F.col("t1_us"))
+
+
+def str_01_keyed_ticks(spark, folder):
+    return _keyed_ticks(spark, folder).select("airport_id", "source_day", "k", "aircraft_id", "timestamp_us", "source_file_id", "altitude_m")
+
+
+QUERIES["str_01_keyed_ticks"] = str_01_keyed_ticks
+ORACLE["str_01_keyed_ticks"] = f"WITH {S.TICKS} SELECT airport_id, source_day, k, aircraft_id, timestamp_us, source_file_id, altitude_m FROM ticks"
+
+
+def str_05_sliding_scenes(spark, folder):
+    """Scenes of the last twelve ticks at every tick, from the ticks of keyed state: rows, aircraft and newest report of each."""
+    recent = F.sequence(F.col("k"), F.col("k") + CFG.history_steps - 1)
+    shown = _keyed_ticks(spark, folder).select(*tk.DAY, "aircraft_id", "timestamp_us", "t0_us", "t1_us", F.explode(recent).alias("k"))
+    ended = shown.filter(tk.tick_time(CFG) <= F.col("t1_us"))
+    per = ended.groupBy(*tk.TICK, "aircraft_id").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp_us").alias("newest"))
+    return per.groupBy(*tk.TICK).agg(F.sum("n").alias("states"), F.count(F.lit(1)).alias("aircraft"), F.max("newest").alias("newest_us"))
+
+
+QUERIES["str_05_sliding_scenes"] = str_05_sliding_scenes
+ORACLE["str_05_sliding_scenes"] = f"""WITH {S.TICKS} SELECT g.airport_id, g.source_day, g.k, count(*) AS states, count(DISTINCT t.aircraft_id) AS aircraft, max(t.timestamp_us) AS newest_us
+FROM grid g JOIN ticks t ON t.airport_id = g.airport_id AND t.source_day = g.source_day AND t.k > g.k - {S.HISTORY} AND t.k <= g.k GROUP BY ALL"""
+
+
 def str_02_no_future_reports(spark, folder):
     """No tick shows a report newer than itself or older than the staleness bound."""
     delay = _delay(spark, folder)
@@ -110,6 +144,28 @@ QUERIES["str_08_matured_days"] = str_08_matured_days
 ORACLE["str_08_matured_days"] = f"""WITH {S.REPORTS} SELECT airport_id, timestamp_us // 86400000000 * 86400000000 AS day_us, count(*) AS n_rows, max(timestamp_us) AS last_us FROM reports GROUP BY ALL"""
 
 
+def label_inputs(spark, folder):
+    """Scene cutoffs and active pairs as arrivals, each at the time of its tick."""
+    ticks = stage_table(tk.carry_forward(event_reports(spark, folder), CFG), "ticks")
+    cutoffs = tk.eligible_cutoffs(ticks, CFG).select(*tk.TICK, F.col("cutoff_us").alias("timestamp_us"))
+    track = Window.partitionBy(*tk.DAY, "a_id", "b_id").orderBy("k")
+    held = F.lag("k").over(track) == F.col("k") - 1
+    pairs = tg.active_pairs(ticks, CFG).withColumn("older_prev", F.when(held, F.lag("older_us").over(track)))
+    return {
+        "cutoffs": stage_table(cutoffs, "cutoffs"),
+        "pairs": stage_table(pairs.select(*tk.TICK, "a_id", "b_id", "older_us", "older_prev", tk.tick_time(CFG).alias("timestamp_us")), "pairs"),
+    }
+
+
+def str_08_label_maturity(spark, folder):
+    out = J.replay_in_order(label_inputs(spark, folder), lambda s: J.matured_labels(s["cutoffs"], s["pairs"], CFG, "10 minutes"), "labels")
+    return out.select(*tk.TICK, "cutoff_us", "horizon_us", "onset_events")
+
+
+QUERIES["str_08_label_maturity"] = str_08_label_maturity
+ORACLE["str_08_label_maturity"] = f"WITH {S.TARGETS} SELECT airport_id, source_day, k, cutoff_us, CAST(horizon_us AS BIGINT) AS horizon_us, CAST(onset_events AS BIGINT) AS onset_events FROM targets"
+
+
 def str_09_state_runs(spark, folder):
     J.use_durable_state(spark)
     delay = _delay(spark, folder)

@@ -3,13 +3,14 @@
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tracklens.config import SceneConfig
 from tracklens.operators.ordered import blocked_lag, blocked_running_sum
-from tracklens.operators.ticks import STATE
+from tracklens.operators.ticks import DAY, STATE
 from tracklens.session import prepare, shared_folder
 
 END_US = 9_000_000_000_000_000  # year 2255, after all reports: the end of a bounded input
@@ -67,6 +68,47 @@ def run_to_end(reports: DataFrame, job: Callable[[DataFrame], DataFrame], name:
     return _run(whole, base)
 
 
+def replay_in_order(
+    inputs: dict[str, DataFrame], job: Callable[[dict[str, DataFrame]], DataFrame], name: str, slices: int = 3, finish: bool = True
+) -> DataFrame:
+    """Run `job` over tables that arrive in time order: one slice of time after another, each a run of the same query.
+
+    Every input has `timestamp_us`; the streams also carry `event_time`. As arrival follows time, a watermark delay of minutes
+    loses nothing, and between slices state holds live rows only. Slices hold about equal numbers of rows, equal times stay together.
+    `finish` brings the marker row at `END_US` last, which releases what is still open. State has one partition per core of the cluster.
+    """
+    spark = next(iter(inputs.values())).sparkSession
+    base = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    timed = {n: df.withColumn("event_time", F.timestamp_micros("timestamp_us")) for n, df in inputs.items()}
+    streams = {}
+    for n, df in timed.items():
+        df.limit(0).write.parquet(f"{base}/in-{n}")
+        streams[n] = spark.readStream.schema(df.schema).parquet(f"{base}/in-{n}")
+    times = None
+    for df in inputs.values():
+        times = df.select("timestamp_us") if times is None else times.union(df.select("timestamp_us"))
+    cuts = times.agg(F.percentile_approx("timestamp_us", [(i + 1) / slices for i in range(slices - 1)], 10_000)).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    whole, partitions = job(streams), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        for low, high in zip(edges, edges[1:]):
+            for n, df in timed.items():
+                after = F.lit(True) if low is None else F.col("timestamp_us") > low
+                until = F.lit(True) if high is None else F.col("timestamp_us") <= high
+                df.filter(after & until).write.mode("append").parquet(f"{base}/in-{n}")
+            out = _run(whole, base)
+        if finish:
+            for n, df in timed.items():
+                marker = {"timestamp_us": F.lit(END_US), "event_time": F.timestamp_micros(F.lit(END_US))}
+                row = spark.range(1).select(*[marker.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+                row.write.mode("append").parquet(f"{base}/in-{n}")
+            out = _run(whole, base)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    return out
+
+
 def replay_delay(reports: DataFrame) -> str:
     """A watermark delay under which files of a bounded input may arrive in any order: the span of its times (batch rows)."""
     low, high = reports.agg(F.min("timestamp_us"), F.max("timestamp_us")).first()
@@ -232,3 +274,102 @@ def joined_runs(pieces: DataFrame) -> DataFrame:
     return numbered.groupBy("aircraft_id", "run").agg(
         F.first("value").alias("value"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n")
     ).drop("run")
+
+
+class TickKeeper(StatefulProcessor):
+    """Per aircraft and day: the reports that can still serve a tick. A timer at the next tick that a live report serves
+    releases every tick the watermark has passed and sets the next timer; reports past their bound leave the state.
+
+    Held are at most one report for each tick between the watermark and the newest report, and the one in force.
+    """
+
+    def __init__(self, step_us: int, stale_us: int):
+        self.step_us, self.stale_us = step_us, stale_us
+        self.columns = ["k", "timestamp_us", "source_file_id", *STATE]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.live = handle.getListState("live", "k long, timestamp_us long, source_file_id string, " + ", ".join(f"{c} double" for c in STATE))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        new["k"] = -((int(key[3]) - new["timestamp_us"]) // self.step_us)  # first tick at or after the report
+        self._hold(key, pd.concat([self._held(), new[self.columns]], ignore_index=True))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, t0 = self._held(), int(key[3])
+        if not len(held):
+            yield pd.DataFrame()
+            return
+        passed = (timerValues.getCurrentWatermarkInMs() * 1_000 - t0) // self.step_us
+        first, bound = held["k"].to_numpy(), (held["timestamp_us"].to_numpy() + self.stale_us - t0) // self.step_us
+        last = np.minimum(bound, np.append(first[1:] - 1, np.iinfo(np.int64).max))
+        n = np.maximum(np.minimum(last, passed) - first + 1, 0)
+        out = held.loc[np.repeat(held.index, n)].reset_index(drop=True)
+        out["k"] = out["k"] + (np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n))
+        self._hold(key, held.assign(k=np.maximum(first, passed + 1))[last > passed])
+        yield out.assign(airport_id=key[0], source_day=key[1], aircraft_id=key[2], t0_us=t0)
+
+    def _held(self) -> pd.DataFrame:
+        frame = pd.DataFrame(list(self.live.get()), columns=self.columns)
+        return frame.astype({"k": "int64", "timestamp_us": "int64", "source_file_id": "object", **{c: "float64" for c in STATE}})
+
+    def _hold(self, key, frame: pd.DataFrame) -> None:
+        latest = frame.sort_values(["k", "timestamp_us", "source_file_id"], kind="stable").drop_duplicates("k", keep="last")
+        if not len(latest):
+            self.live.clear()
+            return
+        self.live.put([(int(k), int(t), s, *map(float, v)) for k, t, s, *v in latest[self.columns].itertuples(index=False)])
+        self.handle.registerTimer(-((-int(key[3]) - int(latest["k"].iloc[0]) * self.step_us) // 1_000))
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_ticks(reports: DataFrame, cfg: SceneConfig, delay: str) -> DataFrame:
+    """The batch ticks from a stream: latest report per aircraft at each tick, no older than the staleness bound.
+
+    Reports carry `t0_us`, the start of the grid of their airport and day. A tick is released once the watermark has passed
+    it, so `delay` is how late a report may come. The grid of an aircraft goes on until its last report is too old.
+    """
+    fields = [*DAY, "aircraft_id", "t0_us", "timestamp_us", "source_file_id", *STATE]
+    # A filter on the event time stays above the watermark, so the end marker moves the watermark only.
+    real = reports.withWatermark("event_time", delay).filter(F.col("event_time") < F.timestamp_micros(F.lit(END_US)))
+    kept = real.select(*fields, "event_time").groupBy(*DAY, "aircraft_id", "t0_us")
+    schema = "airport_id string, source_day string, aircraft_id string, t0_us long, k long, timestamp_us long, source_file_id string, "
+    return kept.transformWithStateInPandas(
+        TickKeeper(cfg.step_us, cfg.stale_us), schema + ", ".join(f"{c} double" for c in STATE), "append", "eventTime"
+    )
+
+
+def matured_labels(cutoffs: DataFrame, pairs: DataFrame, cfg: SceneConfig, delay: str) -> DataFrame:
+    """Onset labels of cutoffs, each joined to its future and released once its longest horizon has passed.
+
+    Cutoffs are (airport, day, k, timestamp_us); `pairs` are the active pairs of a tick with the older report time of the pair
+    there (`older_us`) and, where it was active one tick before, at that tick (`older_prev`). An interval join with watermarks on
+    both sides holds a cutoff until its horizon has passed; one without onsets comes out with zeros. Cutoffs are cut into spans of
+    one horizon, and a pair goes to the two spans it can count for, so a day is many keys.
+    """
+    longest = max(cfg.horizons_us)
+    steps = cfg.horizon_steps(longest)
+    left = cutoffs.withWatermark("event_time", delay).select(
+        *DAY, "k", F.col("timestamp_us").alias("cutoff_us"), F.col("event_time").alias("cutoff_time"), F.floor(F.col("k") / steps).alias("span")
+    )
+    spans = F.sequence(F.floor((F.col("k") - steps) / steps), F.floor((F.col("k") - 1) / steps))
+    right = pairs.withWatermark("event_time", delay).select(
+        *[F.col(c).alias(f"r_{c}") for c in DAY], F.col("k").alias("r_k"), F.col("timestamp_us").alias("tick_us"),
+        F.col("event_time").alias("tick_time"), "older_us", "older_prev", F.explode(spans).alias("r_span"),
+    )
+    follows = (
+        (F.col("tick_time") > F.col("cutoff_time"))
+        & (F.col("tick_time") <= F.col("cutoff_time") + F.expr(f"INTERVAL {longest // 1_000_000} SECONDS"))
+    )
+    # At the tick after the cutoff the tick before is the cutoff itself: a pair active there has no onset.
+    before = F.col("older_prev").isNotNull() & ((F.col("r_k") == F.col("k") + 1) | (F.col("older_prev") > F.col("cutoff_us")))
+    same = (F.col("span") == F.col("r_span")) & (F.col("airport_id") == F.col("r_airport_id")) & (F.col("source_day") == F.col("r_source_day"))
+    joined = left.join(right, same & follows & (F.col("older_us") > F.col("cutoff_us")) & ~before, "left_outer")
+    counts = [F.count_if(F.col("tick_us") <= F.col("cutoff_us") + h).alias(f"h_{h}") for h in sorted(set(cfg.horizons_us))]
+    ended = joined.groupBy(*DAY, "k", "cutoff_us", F.window("cutoff_time", _seconds(cfg.step_us))).agg(*counts)
+    labels = F.array(*[F.struct(F.lit(h).cast("long").alias("horizon_us"), F.col(f"h_{h}").alias("onset_events")) for h in sorted(set(cfg.horizons_us))])
+    return ended.select(*DAY, "k", "cutoff_us", F.explode(labels).alias("l")).select(*DAY, "k", "cutoff_us", "l.*")
