@@ -106,7 +106,44 @@ def test_exhaustive_bootstrap(spark):
     means = np.array([np.mean([p, q, s]) for p in (-1, 0, 2) for q in (-1, 0, 2) for s in (-1, 0, 2)])
     assert r.resample_count == 27 and (r.lower, r.upper) == (pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975)))
     with pytest.raises(ValueError):
-        ev.exhaustive_interval(frame(spark, "g int, v double", [(i, 1.0) for i in range(8)]), "g", "v")
+        ev.exhaustive_interval(frame(spark, "g int, v double", [(i, 1.0) for i in range(11)]), "g", "v")
+
+
+def test_exhaustive_bootstrap_of_ten_groups(spark):
+    """All 10^10 samples, against the distribution of a sum of ten draws by convolution."""
+    r = ev.exhaustive_interval(frame(spark, "g int, v double", [(i, float(i * i)) for i in range(10)]), "g", "v").first()
+    ways = {0: 1}
+    for _ in range(10):
+        grown: dict = {}
+        for total, n in ways.items():
+            for i in range(10):
+                grown[total + i * i] = grown.get(total + i * i, 0) + n
+        ways = grown
+    sums = sorted(ways)
+    upto = np.cumsum([ways[s] for s in sums])
+
+    def quantile(p):
+        place = p * (10 ** 10 - 1)
+        low, high = (sums[int(np.searchsorted(upto, k, side="right"))] / 10 for k in (math.floor(place), math.ceil(place)))
+        return low + (high - low) * (place - math.floor(place))
+
+    assert r.resample_count == 10 ** 10 and r["mean"] == pytest.approx(28.5)
+    assert (r.lower, r.upper) == (pytest.approx(quantile(0.025)), pytest.approx(quantile(0.975)))
+
+
+def test_monte_carlo_shares_draws_between_keys(spark):
+    """Keys of one size draw alike; every mean is that of the hashed draws."""
+    import hashlib
+
+    groups = {"a": [1.0, 2.0, 4.0], "b": [-1.0, 0.0, 9.0], "c": [3.0, 5.0]}
+    rows = [(k, i, v) for k, vs in groups.items() for i, v in enumerate(vs)]
+    got = {r.k: r for r in ev.monte_carlo_interval(frame(spark, "k string, g int, v double", rows), ["k"], "g", "v", 200, "s").collect()}
+    for key, values in groups.items():
+        n = len(values)
+        draw = lambda r, j: int(hashlib.sha256(f"s|{r}|{j}".encode()).hexdigest()[:12], 16) % n  # noqa: E731, B023
+        means = [np.mean([values[draw(r, j)] for j in range(n)]) for r in range(200)]
+        assert got[key].group_count == n and got[key].resample_count == 200 and got[key]["mean"] == pytest.approx(np.mean(values))
+        assert (got[key].lower, got[key].upper) == (pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975)))
 
 
 def test_regime_rule(spark):

@@ -54,6 +54,38 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *body), F.lit("}"))
 
 
+# Two primes below 2^31 and the base of the content root.
+ROOT_PRIMES = (2_147_483_647, 2_147_483_629)
+ROOT_BASE = 1_000_003
+ROOT_BITS = 42  # positions below 2^42
+
+
+def base_power(exponent: Column, prime: int) -> Column:
+    """ROOT_BASE ^ exponent modulo `prime`, by the exponent's bits."""
+    result, factor = F.lit(1).cast("long"), ROOT_BASE
+    for bit in range(ROOT_BITS):
+        chosen = F.when(F.shiftright(exponent, bit).bitwiseAND(F.lit(1)) == 1, F.lit(factor)).otherwise(F.lit(1))
+        result = F.pmod(result * chosen.cast("long"), F.lit(prime))
+        factor = factor * factor % prime
+    return result
+
+
+def content_root(df: DataFrame, keys: list[str], position: str, row: Column) -> DataFrame:
+    """Order-sensitive digest of each key's rows: the polynomial of their hashes in position order, modulo two primes.
+
+    `position` is the 0-based place of a row. A row's term is its hash times base ^ position, so terms add up in any partitioning,
+    parts of a table can be summed apart, and a swap of two rows changes the root.
+    """
+    word = lambda start: F.conv(F.substring("digest_", start, 8), 16, 10).cast("long")
+    hashed = df.select(*keys, F.col(position).alias("at_"), F.sha2(row, 256).alias("digest_"))
+    sums = []
+    for i, prime in enumerate(ROOT_PRIMES):
+        term = F.pmod(F.pmod(word(8 * i + 1), F.lit(prime)) * base_power(F.col("at_"), prime), F.lit(prime))
+        sums.append(F.pmod(F.sum(term.cast("decimal(38,0)")), F.lit(prime).cast("decimal(38,0)")).cast("long"))
+    root = F.concat_ws("-", *[F.lpad(F.lower(F.hex(s)), 8, "0") for s in sums])
+    return hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), root.alias("content_root"))
+
+
 def content_digest(df: DataFrame) -> DataFrame:
     """Order-free digest of a table: row count with the XOR and the sum of two independent row hashes."""
     row = F.struct(*sorted(df.columns))

@@ -345,8 +345,27 @@ SELECT airport_id, count(*) AS sample_size, {', '.join(f"round(quantile_cont(age
 
 
 def agg_12_distinct_sketches(spark, folder):
+    """Daily sketches merged to airports, with the error the estimate had."""
     rows = audit_rows(spark, folder)
-    return P.merge_sketches(P.distinct_sketches(rows, ["airport_id", "day"], "r3"), ["airport_id"])
+    merged = P.merge_sketches(P.distinct_sketches(rows, ["airport_id", "day"], "r3"), ["airport_id"])
+    return P.sketch_estimates(merged, ["airport_id"]).select("airport_id", F.round("distinct_estimate", 6).alias("distinct_estimate"))
 
 
 QUERIES["agg_12_distinct_sketches"] = agg_12_distinct_sketches
+ORACLE["agg_12_distinct_sketches"] = f"""WITH {AUDIT}, h AS (SELECT airport_id, sha256(CAST(r3 AS VARCHAR)) AS d FROM audit WHERE r3 IS NOT NULL),
+ r AS (SELECT airport_id, CAST('0x' || substr(d, 62, 3) AS BIGINT) AS register, max(CASE WHEN d LIKE '0%' THEN 4 * (64 - length(ltrim(d, '0'))) ELSE 0 END
+  + CASE WHEN ltrim(d, '0')[1] >= '8' THEN 0 WHEN ltrim(d, '0')[1] >= '4' THEN 1 WHEN ltrim(d, '0')[1] >= '2' THEN 2 ELSE 3 END) + 1 AS rank FROM h GROUP BY ALL),
+ e AS (SELECT airport_id, 4096 - count(*) AS empty, (0.7213 / (1 + 1.079 / 4096))::DOUBLE * 4096 * 4096 / (sum(pow(2.0, -rank)) + 4096 - count(*)) AS raw FROM r GROUP BY ALL)
+SELECT airport_id, round(CASE WHEN raw <= 2.5 * 4096 AND empty > 0 THEN 4096 * ln(4096.0::DOUBLE / empty) ELSE raw END, 6) AS distinct_estimate FROM e"""
+
+
+def agg_12_registers(spark, folder):
+    """The registers themselves, as they would be stored and merged."""
+    return P.merge_sketches(P.distinct_sketches(audit_rows(spark, folder), ["airport_id", "day"], "r3"), ["airport_id"]).withColumn("rank", F.col("rank").cast("long"))
+
+
+QUERIES["agg_12_registers"] = agg_12_registers
+ORACLE["agg_12_registers"] = f"""WITH {AUDIT}, h AS (SELECT airport_id, sha256(CAST(r3 AS VARCHAR)) AS d FROM audit WHERE r3 IS NOT NULL),
+ b AS (SELECT airport_id, CAST('0x' || substr(d, 62, 3) AS BIGINT) AS register, string_agg(lpad(bin(CAST('0x' || c AS INTEGER)), 4, '0'), '' ORDER BY i) AS bits
+  FROM (SELECT DISTINCT airport_id, d, i, substr(d, i, 1) AS c FROM (SELECT *, unnest(range(1, 65)) AS i FROM (SELECT DISTINCT airport_id, d FROM h))) GROUP BY airport_id, d)
+SELECT airport_id, register, max(strpos(bits, '1')) AS rank FROM b GROUP BY ALL"""

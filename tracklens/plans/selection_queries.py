@@ -5,6 +5,7 @@ from pyspark.sql import Window, functions as F
 from tracklens.config import EVENT_CONFIG as CFG
 from tracklens.functions import hashing as H, text
 from tracklens.operators import inventory as I, near, selection as sel, targets as tg, ticks as tk
+from tracklens.operators.ordered import blocked_row_number
 from tracklens.plans import sql as S
 from tracklens.plans.audit_queries import MANIFEST
 from tracklens.sources.tables import event_reports, file_manifest, lineitem_rows, load
@@ -380,13 +381,13 @@ SELECT airport_id, setting, count(*) FILTER (WHERE p.h_m < st.h AND p.v_m < st.v
 
 
 def fn_09_digests(spark, folder):
-    rows = lineitem_rows(spark, folder).filter("age_s IS NOT NULL").select("k1", "k2", "s1", "tail")
+    rows = lineitem_rows(spark, folder).select("k1", "k2", "s1", "tail")
     doc = H.canonical_json({"tail": F.col("tail"), "k1": F.col("k1"), "s1": F.when(F.col("s1") % 2 == 0, F.col("s1"))})
     return rows.groupBy(F.col("k1").alias("k1")).agg(F.min(F.sha2(doc, 256)).alias("least_digest"), F.max(doc).alias("last_doc"))
 
 
 QUERIES["fn_09_digests"] = fn_09_digests
-ORACLE["fn_09_digests"] = f"""WITH {S.LINES}, d AS (SELECT k1, concat('{{"k1":', k1, ',"s1":', CASE WHEN s1 % 2 = 0 THEN CAST(s1 AS VARCHAR) ELSE '{{"type":"null"}}' END, ',"tail":"', tail, '"}}') AS doc FROM lines WHERE age_s IS NOT NULL)
+ORACLE["fn_09_digests"] = f"""WITH {S.LINES}, d AS (SELECT k1, concat('{{"k1":', k1, ',"s1":', CASE WHEN s1 % 2 = 0 THEN CAST(s1 AS VARCHAR) ELSE '{{"type":"null"}}' END, ',"tail":"', tail, '"}}') AS doc FROM lines)
 SELECT k1, min(sha256(doc)) AS least_digest, max(doc) AS last_doc FROM d GROUP BY k1"""
 
 
@@ -406,6 +407,21 @@ def snk_04_content_digest(spark, folder):
 QUERIES["snk_04_content_digest"] = snk_04_content_digest
 
 
+def snk_04_content_root(spark, folder):
+    """Order-sensitive root of each tail's rows in the order of their natural key and place of supply."""
+    rows = lineitem_rows(spark, folder).select("tail", "k1", "k2", "s1", "s2")
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in ("k1", "k2", "s1", "s2")])
+    order = ["k1", "k2", "s1", "s2"]
+    placed = blocked_row_number(rows, ["tail"], F.floor(F.col("k1") / 8_192), order, "at").withColumn("at", F.col("at") - 1)
+    return H.content_root(placed, ["tail"], "at", text)
+
+
+QUERIES["snk_04_content_root"] = snk_04_content_root
+_ROOT = [f"list_reduce(list_prepend(0::HUGEINT, list(CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT)::HUGEINT ORDER BY k1 DESC, k2 DESC, s1 DESC, s2 DESC)), lambda a, x: (a * {H.ROOT_BASE} + x) % {p})" for i, p in enumerate(H.ROOT_PRIMES)]
+ORACLE["snk_04_content_root"] = f"""WITH {S.LINES}, d AS (SELECT tail, k1, k2, s1, s2, sha256(concat_ws('|', k1, k2, s1, s2)) AS d FROM lines)
+SELECT tail, count(*) AS row_count, concat({_ROOT[0].join(("lpad(lower(hex(CAST(", " AS BIGINT))), 8, '0')"))}, '-', {_ROOT[1].join(("lpad(lower(hex(CAST(", " AS BIGINT))), 8, '0')"))}) AS content_root FROM d GROUP BY tail"""
+
+
 def src_14_column_scan(spark, folder):
     return load(spark, folder, "lineitem").filter("l_shipdate >= TIMESTAMP_NTZ'1997-01-01'").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.max("l_orderkey").alias("last_key"))
 
