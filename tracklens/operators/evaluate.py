@@ -224,8 +224,11 @@ def monte_carlo_interval(deltas: DataFrame, keys: list[str], group: str, value:
     """Bootstrap over groups. Draws come from a hash of (seed, resample, position), so any engine can repeat them."""
     numbered = deltas.withColumn("i_", F.row_number().over(Window.partitionBy(*keys).orderBy(group)) - 1)
     sizes = deltas.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"), F.avg(value).alias("mean"))
-    # A draw depends on the number of groups only: keys of one size share their draws, which stay with their resample.
-    trials = sizes.select("n_").distinct().withColumn("r_", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition("n_", "r_")
+    # A draw depends on the number of groups only: keys of one size share their draws, which stay with their resample. Trials are
+    # few bytes but much hashing, so their partitions are given by number, which adaptive execution does not merge.
+    trials = sizes.select("n_").distinct().withColumn("r_", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(
+        deltas.sparkSession.sparkContext.defaultParallelism, "n_", "r_"
+    )
     digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col("r_").cast("string"), F.col("j_").cast("string")), 256)
     drawn = trials.withColumn("j_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_") - 1))).select(
         "n_", "r_", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("n_")).cast("int").alias("i_")

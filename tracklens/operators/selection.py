@@ -3,9 +3,11 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracklens.functions.hashing import prefix_mod, span_selected, stable_rank
-from tracklens.operators.ordered import blocked_row_number, blocked_running_sum, first_per_group
+from tracklens.operators.ordered import blocked_lag, blocked_row_number, blocked_running_sum, first_per_group
 from tracklens.session import stage_table
 
+TRACK_BLOCK_US = 3_600_000_000  # an hour: the part of a track that one task orders
+
 
 def top_by_hash(rows: DataFrame, groups: list[str], identifier: str, cap: int, salt: str) -> DataFrame:
     """The `cap` rows of each group with the smallest salted hash."""
@@ -125,10 +127,14 @@ def temporal_split(stamp: Column, train_cutoff, validation_cutoff, embargo) -> C
     )
 
 
-def sequential_splits(sources: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """First three fifths, next fifth, rest, in source order; groups need three sources."""
-    scope = Window.partitionBy(group)
-    ranked = sources.withColumn("n_", F.count(F.lit(1)).over(scope)).withColumn("i_", F.row_number().over(scope.orderBy(*order)) - 1)
+def sequential_splits(sources: DataFrame, group: str, order: list[str], block_rows: int = 8_192) -> DataFrame:
+    """First three fifths, next fifth, rest, in source order; groups need three sources.
+
+    The first column of `order` is a number that grows with the order; blocks of it are numbered apart and stitched.
+    """
+    sizes = sources.groupBy(group).agg(F.count(F.lit(1)).alias("n_"))
+    placed = blocked_row_number(sources, [group], F.floor(F.col(order[0]) / block_rows), order, "i_")
+    ranked = placed.withColumn("i_", F.col("i_") - 1).join(sizes, group)
     train = F.greatest(F.lit(1), F.expr("3 * n_ div 5"))
     validation = F.least(F.greatest(train + 1, F.expr("4 * n_ div 5")), F.col("n_") - 1)
     split = F.when(F.col("i_") < train, "train").when(F.col("i_") < validation, "validation").otherwise("test")
@@ -140,13 +146,17 @@ def crossing_identifiers(rows: DataFrame, identifier: str, split: str = "split")
     return rows.groupBy(identifier).agg(F.min(split).alias("a"), F.max(split).alias("b")).filter("a <> b").select(identifier)
 
 
-def masked_spans(rows: DataFrame, track: list[str], order: list[str], seed: int, salt: str, scope: list[str]) -> DataFrame:
+def masked_spans(
+    rows: DataFrame, track: list[str], order: list[str], seed: int, salt: str, scope: list[str], block_us: int = TRACK_BLOCK_US
+) -> DataFrame:
     """Spans of four rows per track, a lone last row joining the span before; about 30 % are masked.
 
-    Where no span of a scope is chosen, the one with the smallest hash is.
+    Where no span of a scope is chosen, the one with the smallest hash is. The order starts with a time in microseconds; a
+    track's blocks of time are numbered apart, so a busy track is many tasks.
     """
-    whole = Window.partitionBy(*track)
-    placed = rows.withColumn("n_", F.count(F.lit(1)).over(whole)).withColumn("i_", F.row_number().over(whole.orderBy(*order)) - 1)
+    sizes = rows.groupBy(*track).agg(F.count(F.lit(1)).alias("n_"))
+    numbered = blocked_row_number(rows, track, F.floor(F.col(order[0]) / block_us), order, "i_")
+    placed = numbered.withColumn("i_", F.col("i_") - 1).join(sizes, track).select(*rows.columns, "n_", "i_")
     span = F.expr("i_ div 4")
     lone = (F.col("n_") % 4 == 1) & (F.col("n_") > 4) & (F.col("i_") == F.col("n_") - 1)
     spanned = placed.withColumn("span", F.when(lone, span - 1).otherwise(span))
@@ -158,18 +168,23 @@ def masked_spans(rows: DataFrame, track: list[str], order: list[str], seed: int,
     return hashed.join(least, scope).withColumn("masked", F.coalesce(chosen, F.lit(False))).drop("n_", "i_", "hash_", "least_")
 
 
-def track_deltas(rows: DataFrame, track: list[str], stamp_us: str, fields: list[str]) -> DataFrame:
+def track_deltas(rows: DataFrame, track: list[str], stamp_us: str, fields: list[str], block_us: int = TRACK_BLOCK_US) -> DataFrame:
     """Seconds and state changes since the track's previous row; a non-increasing time is an error."""
-    window = Window.partitionBy(*track).orderBy(stamp_us)
-    elapsed = (F.col(stamp_us) - F.lag(stamp_us).over(window)) / F.lit(1e6)
-    checked = rows.withColumn("track_dt_s", elapsed).withColumn(
-        "track_dt_s", F.when(F.col("track_dt_s") <= 0, F.raise_error(F.lit("track times are not increasing")).cast("double")).otherwise(F.col("track_dt_s"))
-    )
-    return checked.withColumns({f"track_d{f}": F.col(f) - F.lag(f).over(window) for f in fields})
+    block = F.floor(F.col(stamp_us) / block_us)
+    before = blocked_lag(rows, track, block, [stamp_us], [stamp_us, *fields], "before_")
+    elapsed = (F.col(stamp_us) - F.col(f"before_.{stamp_us}")) / F.lit(1e6)
+    checked = F.when(elapsed <= 0, F.raise_error(F.lit("track times are not increasing")).cast("double")).otherwise(elapsed)
+    return before.withColumns({"track_dt_s": checked, **{f"track_d{f}": F.col(f) - F.col(f"before_.{f}") for f in fields}}).drop("before_")
+
 
+def next_row(rows: DataFrame, track: list[str], order: list[str], value: str, out: str, block_us: int = TRACK_BLOCK_US) -> DataFrame:
+    """`value` of the track's next row, null on the last one; the order is unique and starts with a time in microseconds.
 
-def next_row(rows: DataFrame, track: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    return rows.withColumn(out, F.lead(value).over(Window.partitionBy(*track).orderBy(*order)))
+    It is the previous row in falling order, so times are negated and the blocks of a busy track are handled apart.
+    """
+    back = rows.withColumn("back_", F.struct(*[(-F.col(order[0])).alias("o0"), *[(-F.col(c)).alias(f"o{i}") for i, c in enumerate(order[1:], 1)]]))
+    block = F.floor(F.col("back_.o0") / block_us)
+    return blocked_lag(back, track, block, ["back_"], [value], "next_").withColumn(out, F.col(f"next_.{value}")).drop("back_", "next_")
 
 
 def window_scenes(reports: DataFrame, window_us: int, min_aircraft: int, max_aircraft: int) -> DataFrame:
