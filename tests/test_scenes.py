@@ -169,6 +169,41 @@ def test_converging_and_diverging_pairs(spark):
         assert row.cpa_pair_count_300s == projected
 
 
+def crowd(spark, n, seed=5):
+    draw = random.Random(seed)
+    rows = [report(f"A{i:03d}", s, 40.78 + draw.uniform(-0.3, 0.3), -79.95 + draw.uniform(-0.3, 0.3), draw.uniform(0, 3000.0), draw.uniform(40, 120), draw.uniform(-3, 3))
+            for i in range(n) for s in (80, 110)]
+    rows += [report("A000", 0, 40.78), report("B", 110, 40.78), report("B2", 110, 40.78)]
+    return scene(spark, rows)
+
+
+def test_tiles_meet_every_pair_once(spark):
+    """However small the tiles, a scene's pairs are those of one tile, and a row holds members of two tiles only."""
+    aircraft, cfg = crowd(spark, 60)
+    ids = sorted(r.aircraft_id for r in aircraft.filter("k = 11").collect())
+    want = sorted((a, b) for i, a in enumerate(ids) for b in ids[i + 1:])
+    for tile in (1, 7, 1000):
+        rows = ft.scene_pairs(aircraft, tile=tile).filter("k = 11").select("a.aircraft_id", F.col("b.aircraft_id").alias("b_id")).collect()
+        assert sorted((r.aircraft_id, r.b_id) for r in rows) == want
+    tiles = ft.scene_tiles(aircraft, ["aircraft_id"], 7).filter("k = 11")
+    assert tiles.count() == 9 * 10 // 2 and tiles.agg(F.max(F.size("members"))).first()[0] < 40
+    counts = ["observed_pair_count", "current_active_pair_count_5nm_1000ft", "closing_pair_count_10nm", "cpa_pair_count_300s"]
+    one, many = ([tuple(r) for r in ft.pair_features(ft.scene_pairs(aircraft, tile=t), cfg).filter("k = 11").select(*counts).collect()] for t in (1000, 7))
+    assert one == many and one[0][0] == len(want)
+    with pytest.raises(ValueError):
+        ft.scene_pairs(aircraft, tile=0)
+
+
+def test_nearest_neighbours_of_tiled_scenes(spark):
+    aircraft, _ = crowd(spark, 40)
+    rows = aircraft.filter("k = 11").collect()
+    where = {r.aircraft_id: (None,) * 5 + (r.lat_deg, r.lon_deg) for r in rows}
+    got = {}
+    for r in ft.nearest_neighbours(aircraft, 3, tile=7).filter("k = 11").orderBy("aircraft_id", "rank").collect():
+        got.setdefault(r.aircraft_id, []).append(r.neighbour_id)
+    assert got == {a: [b for _, b in sorted((hav(where[min(a, b)], where[max(a, b)]), b) for b in where if b != a)[:3]] for a in where}
+
+
 def test_coverage_with_missing_prior(spark):
     rows = [report(a, s, 40.78 + i / 100) for i, a in enumerate(("A", "B")) for s in range(0, 111, 10)] + [report("C", 110, 40.9)]
     aircraft, _ = scene(spark, rows)

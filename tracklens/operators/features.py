@@ -61,18 +61,40 @@ def scene_aircraft(ticks: DataFrame, cfg: SceneConfig) -> DataFrame:
 
 
 _PAIR_FIELDS = ["aircraft_id", "lat_deg", "lon_deg", "altitude_m", "heading_rad", "x", "y", "nx", "ny", "vx", "vy", "vz"]
+TILE_AIRCRAFT = 256
 
 
-def scene_pairs(aircraft: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Unordered pairs of a scene, expanded inside its own row.
+def scene_tiles(aircraft: DataFrame, fields: list[str], tile: int = TILE_AIRCRAFT) -> DataFrame:
+    """One row for each two tiles of a scene, with the members of both in identifier order.
 
-    The scene cap bounds a row to max_aircraft members, so pairs are made and consumed in one task and
-    are never shuffled: grouping by scene afterwards reuses the partitioning of the collected rows.
+    A scene of n aircraft has ceil(n / tile) tiles, and an aircraft's identifier decides its tile, so a row holds about
+    two tiles however crowded the scene is, and the rows of one scene go to different tasks. An aircraft is sent once
+    for each tile of its scene: a single time up to `tile` aircraft. `n_aircraft` is the scene's own count.
+    """
+    if tile <= 0:
+        raise ValueError("tile must be positive")
+    tiles = F.ceil(F.col("n_aircraft") / F.lit(tile)).cast("int")
+    placed = aircraft.withColumn("tiles_", tiles).withColumn("tile", F.pmod(F.xxhash64("aircraft_id"), F.col("tiles_")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("tiles_") - 1), lambda j: F.struct(
+        F.least(j, F.col("tile")).alias("low"), F.greatest(j, F.col("tile")).alias("high")))
+    sent = placed.select(*TICK, "tile", *fields, F.explode(met).alias("t_"))
+    return (
+        sent.select(*TICK, F.col("t_.low").alias("low"), F.col("t_.high").alias("high"), F.struct(*fields, "tile").alias("m_"))
+        .groupBy(*TICK, "low", "high").agg(F.sort_array(F.collect_list("m_")).alias("members"))
+    )
+
+
+def scene_pairs(aircraft: DataFrame, extra: list[str] | None = None, tile: int = TILE_AIRCRAFT) -> DataFrame:
+    """Unordered pairs of a scene, each once, expanded inside the rows of `scene_tiles` and never shuffled.
+
+    Two aircraft of one tile meet in that tile's own row, others in the row of their two tiles. Aggregates by scene
+    are reduced in the task that expands a row; one partial row for each two tiles travels.
     """
     fields = _PAIR_FIELDS + (extra or [])
-    scenes = aircraft.groupBy(*TICK).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("members"))
-    left = scenes.select(*TICK, "members", F.posexplode("members").alias("i", "a"))
-    return left.select(*TICK, "a", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("b"))
+    rows = scene_tiles(aircraft, fields, tile)
+    left = rows.select(*TICK, (F.col("low") == F.col("high")).alias("own"), "members", F.posexplode("members").alias("i", "a"))
+    pairs = left.select(*TICK, "own", "a", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("b"))
+    return pairs.filter(F.col("own") | (F.col("a.tile") != F.col("b.tile"))).drop("own")
 
 
 def _geometry(pairs: DataFrame) -> DataFrame:
@@ -264,11 +286,14 @@ def temporal_controls(ticks: DataFrame, aircraft: DataFrame, cfg: SceneConfig) -
     )
 
 
-def nearest_neighbours(aircraft: DataFrame, top_k: int) -> DataFrame:
-    """Each scene aircraft's nearest others by (distance, identifier)."""
+def nearest_neighbours(aircraft: DataFrame, top_k: int, tile: int = TILE_AIRCRAFT) -> DataFrame:
+    """Each scene aircraft's nearest others by (distance, identifier).
+
+    Each task keeps the nearest `top_k` of the rows it expands before anything travels, so candidates are shuffled, not pairs.
+    """
     if top_k <= 0:
         raise ValueError("top_k must be positive")
-    pairs = scene_pairs(aircraft)
+    pairs = scene_pairs(aircraft, tile=tile)
     distance = geo.haversine_m(F.col("a.lat_deg"), F.col("a.lon_deg"), F.col("b.lat_deg"), F.col("b.lon_deg"))
     both = pairs.select(*TICK, F.explode(F.array(
         F.struct(F.col("a.aircraft_id").alias("aircraft_id"), F.col("b.aircraft_id").alias("neighbour_id"), distance.alias("distance_m")),
