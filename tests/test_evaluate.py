@@ -238,7 +238,7 @@ def test_nb2_fit_is_a_maximum(spark, counts):
 
     w = np.array(model.coefficients)
     best = nll(model.intercept, w, model.dispersion)
-    assert fit["converged"] and fit["objective"] == pytest.approx(best, rel=1e-9)
+    assert fit["converged"] and fit["iterations"] <= 15 and fit["objective"] == pytest.approx(best, rel=1e-9)
     for di, dw, da in ((0.02, 0, 1), (-0.02, 0, 1), (0, 0.01, 1), (0, -0.01, 1), (0, 0, 1.05), (0, 0, 0.95)):
         assert nll(model.intercept + di, w + dw, model.dispersion * da) >= best - 1e-9
 

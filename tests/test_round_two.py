@@ -35,11 +35,15 @@ def test_one_row_join_never_plans_a_cartesian_product(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_failed_line_search_is_not_convergence():
-    from tracklens.operators.models import _minimize
-
-    wrong = lambda x: (float(x @ x), -2 * x)  # noqa: E731  a gradient of the wrong sign finds no lower point
-    assert not _minimize(wrong, np.array([1.0]), np.array([-5.0]), np.array([5.0]))[3]
+def test_too_few_passes_are_not_convergence(spark):
+    from tracklens.operators.models import fit_nb2
+
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=300)
+    rows = spark.createDataFrame([(float(a), int(c)) for a, c in zip(x, draw.negative_binomial(2, 2 / (2 + np.exp(1 + 0.5 * x))))], "x double, y int")
+    assert not fit_nb2(rows, ["x"], "y", passes=1)[1]["converged"]
+    full = fit_nb2(rows.unionByName(spark.createDataFrame([(None, 3), (1.0, None)], "x double, y int")), ["x"], "y")
+    assert full[1]["converged"] and full[1]["iterations"] <= 15 and full[0] == fit_nb2(rows, ["x"], "y")[0]
 
 
 def test_mask_excludes_its_limit(spark):
