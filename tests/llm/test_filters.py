@@ -39,6 +39,20 @@ def test_one_bad_section_of_many(spark):
     assert got[0].template == "/part-ha/#" and got[1].template == got[2].template == "/*/#"
 
 
+def test_deep_paths_branch_at_any_depth(spark):
+    """Variable segments beyond any fixed depth become wildcards; a path of thousands of segments costs one step."""
+    deep = "http://h.org" + "".join(f"/{c}" for c in "abcdefghijkl")
+    good = [(f"{deep}/{x}{y}/ok/{i}", 1) for x in "pqrst" for y in "uvwx" for i in range(5)]
+    good += [(f"{deep}/{x}{y}/spam/{i}", 0) for x in "pqrst" for y in "uvwx" for i in range(5)]
+    urls = [f"{deep}/new/ok/1", f"{deep}/new/spam/1", "http://long.org" + "/s" * 5000 + "/x", "http://long.org" + "/s" * 5000 + "/y/z", "http://long.org" + "/s" * 5000, deep, deep]
+    pages = spark.createDataFrame([(i, u, "clash", 1) for i, u in enumerate(urls)], "page_id long, url string, template_ string, n_ int")
+    got = {r.page_id: r for r in url_filters.judge_urls(pages, spark.createDataFrame(good, "url string, good int")).collect()}
+    below = deep[len("http://h.org"):] + "/*"
+    assert [(got[i].template, got[i].verdict) for i in (0, 1)] == [(below + "/ok/#", "allow"), (below + "/spam/#", "block")]
+    assert got[2].template == "/s" * 5000 + "/*" and got[3].template == "/s" * 5000 + "/*/z"
+    assert got[4].template == "/s" * 5000 and got[5].template == got[6].template == deep[len("http://h.org"):]
+
+
 def test_secrets(spark, documents, odd):
     kinds = [("key AKIA%016d end", 1), ('token = "%040x" x', 1), ("number %016d and", 0), ("see page-of-things-%d now", 0)]
     rows = [(i * 10 + k, "Before " + text % (i * 7919 + 10**15 if "016d" in text or "040x" in text else i + 100), label) for i in range(40) for k, (text, label) in enumerate(kinds)]

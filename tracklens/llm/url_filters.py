@@ -5,12 +5,16 @@ wildcard when it has siblings and its labelled purity does not differ from that
 pooled siblings, so no pairs are compared). A branch without labels does not differ; however small its share is, one whose labels differ stays. Templates whose smoothed purity falls below a threshold are rejected.
 Fixed rules by host suffix and path prefix come first; the longest fitting rule decides.
 
-The tree is grown on distinct shapes with their counts, never on urls, and each level is an aggregation with a join back.
+The tree is grown on distinct shapes with their counts, never on urls, and each round is two aggregations with joins back.
 
 Nulls: a null url or one without "://" has empty host and path and falls into the empty host's root template. Repeated
-rows give one row each. Labels without a url, or with a null label, count for nothing. Segments beyond `DEPTH` form one tail segment.
+rows give one row each. Labels without a url, or with a null label, count for nothing. Paths are grown to their last segment, however
+many there are: a stretch that all open paths of a branch share is taken in one step, so a round is spent for each true
+branching on a path, not for each segment.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracklens.llm.common import field_of, join_on_group, lowered, packed, scalar, table
@@ -24,7 +28,6 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-DEPTH = 8
 SIMILAR_Z = 2.58
 PRIOR_ROWS = 4.0
 LEAST_PURITY = 0.5
@@ -49,10 +52,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return chosen
 
 
-def shape_of(path: Column, depth: int = DEPTH) -> Column:
-    """Path segments with digit runs as variables; the segments beyond the depth are one."""
-    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
-    return F.when(F.size(parts) <= depth, parts).otherwise(F.concat(F.slice(parts, 1, depth - 1), F.array(F.array_join(F.slice(parts, depth, F.greatest(F.size(parts), F.lit(1))), "/"))))
+def shape_of(path: Column) -> Column:
+    """Path segments with digit runs as variables."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
+
+
+def _shared(low: Column, high: Column) -> Column:
+    """How many leading entries two arrays have in common."""
+    ends = F.least(F.size(low), F.size(high))
+    return F.aggregate(F.sequence(F.lit(0), ends), F.lit(0), lambda n, i: F.when((n == i) & (i < ends) & (F.get(low, i) == F.get(high, i)), n + 1).otherwise(n))
 
 
 def _purity(good: Column, labelled: Column, prior: Column) -> Column:
@@ -61,10 +69,22 @@ def _purity(good: Column, labelled: Column, prior: Column) -> Column:
 
 def templates(shapes: DataFrame, total: int) -> DataFrame:
     """Template and smoothed purity of each shape: staged rows shape_key_, host_, parts_, n_, good_, labelled_."""
-    deepest = scalar(shapes.agg(F.max(F.size("parts_"))))[0] or 0
-    grown = shapes.withColumn("template_", F.array().cast("array<string>"))
-    for level in range(deepest):
-        step = stage_table(grown.withColumn("part_", F.get("parts_", level)).withColumn("node_", F.xxhash64("host_", "template_")), "level")
+    open_ = stage_table(shapes.withColumn("template_", F.array().cast("array<string>")), "level")
+    finished = []
+    while True:
+        ended = F.size("parts_") <= F.size("template_")
+        finished.append(open_.filter(ended))
+        rest = open_.filter(~ended)
+        total_open = rest.count()
+        if total_open == 0:
+            break
+        rest = rest.withColumn("tail_", F.slice("parts_", F.size("template_") + 1, F.size("parts_"))).withColumn("node_", F.xxhash64("host_", "template_"))
+        # The least and the greatest remainder of a node share what all of its remainders share.
+        nodes = rest.groupBy("node_").agg(F.count(F.lit(1)).alias("shapes_"), F.min("tail_").alias("low_"), F.max("tail_").alias("high_"))
+        nodes = stage_table(nodes.select("node_", "shapes_", _shared(F.col("low_"), F.col("high_")).alias("shared_")), "nodes")
+        moved = join_on_group(rest, nodes, "node_", "shapes_", ["shared_"], total_open, ["shape_key_"])
+        moved = moved.select(*shapes.columns, F.concat("template_", F.slice("tail_", F.lit(1), F.col("shared_"))).alias("template_"))
+        step = stage_table(moved.withColumn("part_", F.get("parts_", F.size("template_"))).withColumn("node_", F.xxhash64("host_", "template_")), "step")
         branch = step.filter("part_ IS NOT NULL").groupBy("node_", "part_").agg(F.sum("good_").alias("good_"), F.sum("labelled_").alias("labelled_"), F.count(F.lit(1)).alias("shapes_"))
         branch = stage_table(branch, "branches")
         parent = branch.groupBy("node_").agg(
@@ -79,10 +99,11 @@ def templates(shapes: DataFrame, total: int) -> DataFrame:
         similar = (F.col("siblings_") > 1) & F.coalesce(F.abs(own - pooled) <= F.lit(SIMILAR_Z) * error, F.lit(True))
         named = both.select(F.xxhash64("node_", "part_").alias("branch_"), "shapes_", F.when(similar, F.lit(WILDCARD)).otherwise(F.col("part_")).alias("name_"))
         keyed = step.withColumn("branch_", F.when(F.col("part_").isNotNull(), F.xxhash64("node_", "part_")))
-        grown = join_on_group(keyed, stage_table(named, "named"), "branch_", "shapes_", ["name_"], step.count(), ["shape_key_"]).withColumn(
+        grown = join_on_group(keyed, stage_table(named, "named"), "branch_", "shapes_", ["name_"], total_open, ["shape_key_"]).withColumn(
             "template_", F.when(F.col("name_").isNull(), F.col("template_")).otherwise(F.concat("template_", F.array("name_")))
-        ).select(*grown.columns)
-    grown = stage_table(grown.withColumn("node_", F.xxhash64("host_", "template_")), "grown")
+        )
+        open_ = stage_table(grown.select(*open_.columns), "level")
+    grown = stage_table(reduce(DataFrame.unionByName, finished).withColumn("node_", F.xxhash64("host_", "template_")), "grown")
     whole = scalar(grown.agg(F.sum("good_"), F.sum("labelled_")))
     prior = ((whole[0] or 0) + 1.0) / ((whole[1] or 0) + 2.0)
     sums = [F.sum("good_").alias("g_"), F.sum("labelled_").alias("l_"), F.count(F.lit(1)).alias("shapes_")]
