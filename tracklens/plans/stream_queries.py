@@ -1,6 +1,6 @@
 """Streaming queries over the event table, each against its batch definition."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tracklens.config import EVENT_CONFIG as CFG
 from tracklens.operators import targets as tg, ticks as tk
@@ -145,15 +145,18 @@ ORACLE["str_08_matured_days"] = f"""WITH {S.REPORTS} SELECT airport_id, timestam
 
 
 def label_inputs(spark, folder):
-    """Scene cutoffs and active pairs as arrivals, each at the time of its tick."""
+    """Scene cutoffs and active pairs as arrivals, each at the time of its tick.
+
+    Cutoffs lie on ticks, so a pair's report times matter by the ticks they are newer than only: pairs alike in that are one row.
+    """
     ticks = stage_table(tk.carry_forward(event_reports(spark, folder), CFG), "ticks")
     cutoffs = tk.eligible_cutoffs(ticks, CFG).select(*tk.TICK, F.col("cutoff_us").alias("timestamp_us"))
-    track = Window.partitionBy(*tk.DAY, "a_id", "b_id").orderBy("k")
-    held = F.lag("k").over(track) == F.col("k") - 1
-    pairs = tg.active_pairs(ticks, CFG).withColumn("older_prev", F.when(held, F.lag("older_us").over(track)))
+    age = lambda c: F.expr(f"(t0_us + k * {CFG.step_us} - {c}) div {CFG.step_us}")
+    pairs = tg.active_pairs(ticks, CFG, previous=True).groupBy(*tk.TICK, "t0_us", age("older_us").alias("age"), age("older_prev").alias("age_prev")).agg(
+        F.max("older_us").alias("older_us"), F.max("older_prev").alias("older_prev"), F.count(F.lit(1)).alias("n"))
     return {
         "cutoffs": stage_table(cutoffs, "cutoffs"),
-        "pairs": stage_table(pairs.select(*tk.TICK, "a_id", "b_id", "older_us", "older_prev", tk.tick_time(CFG).alias("timestamp_us")), "pairs"),
+        "pairs": stage_table(pairs.select(*tk.TICK, "older_us", "older_prev", "n", tk.tick_time(CFG).alias("timestamp_us")), "pairs"),
     }
 
 
