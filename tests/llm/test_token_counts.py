@@ -45,3 +45,22 @@ def test_batches_are_balanced():
     parts = [(i, "x" * (i % 7 * 100)) for i in range(200)]
     groups = list(tc.batches_by_bytes(parts, 1000))
     assert [p for g in groups for p in g] == parts and all(sum(len(t) for _, t in g) <= 1000 for g in groups)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ab'sdt1 .!-_<|>\n\t\xa0\x85éÀ×²漢", max_size=40), min_size=1, max_size=6))
+def test_sums_over_words_are_exact(texts):
+    whole = [len(TOKENIZER.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert ["".join(tc.WORDS.findall(t)) for t in texts] == texts
+    counter = tc.PartCounts(lambda parts: [len(TOKENIZER.encode(p, add_special_tokens=False).ids) for p in parts], ["<|endoftext|>"])
+    assert counter(texts) == whole == counter(texts)
+
+
+def test_a_repeated_part_is_encoded_once(monkeypatch):
+    seen = []
+    counter = tc.PartCounts(lambda parts: seen.extend(parts) or [1 for _ in parts], ["<|x|>"])
+    assert counter(["one two two", "two, one two"]) == [3, 4] and counter(["one two"]) == [2]
+    assert sorted(seen) == [" one", " two", ",", "one", "two"]
+    assert counter(["a<|x|> b"]) == [1] and seen[-1] == "a<|x|> b"
+    monkeypatch.setattr(tc, "KNOWN_PARTS", 1)
+    assert counter(["x " + "y" * 40, "x one"]) == [2, 2] and set(counter.known) == {"x", " one"}

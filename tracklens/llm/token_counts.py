@@ -5,12 +5,17 @@ certainly starts a new piece: before a single space between two visible ASCII ch
 and a digit. A byte-level pre-tokenizer never joins across these, so the counts of the parts add up exactly.
 Vocabularies with another pre-tokenizer or with added tokens that hold such a boundary get whole texts.
 
+Such a vocabulary also cuts texts into parts of about a word (`WORDS`): before a single space between two visible characters and
+between a letter and ASCII punctuation. Each distinct part is encoded once; a task keeps the lengths of up to `KNOWN_PARTS`
+short ones, and the tasks after it in its worker have them too. A text that holds an added token goes without these cuts.
+
 Nulls: a null text counts as empty and has 0 bytes and 0 tokens. Every row gives one row, repeated rows too.
 """
 
 import json
 import os
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,6 +24,12 @@ from tracklens.llm.common import field_of, packed, table, text_of
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 15
 TOKEN_LIMIT = 1024
+KNOWN_PARTS = 1 << 19
+KNOWN_CHARS = 32
+ENCODED_PARTS = 1 << 12
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"  # an apostrophe may start a piece that goes on with letters
+_CUT = rf"(?<=[!-~{_LETTER}])(?= [!-~{_LETTER}])|(?<=[{_LETTER}])(?=[{_MARK}'])|(?<=[{_MARK}])(?=[{_LETTER}])|\Z"
+WORDS = re.compile(rf" ?[{_LETTER}]++(?=[{_MARK}']| [!-~{_LETTER}]|\Z)| ?[{_MARK}]++(?=[{_LETTER}]| [!-~{_LETTER}]|\Z)|(?s:.)+?(?:{_CUT})")
 BOUNDARY = re.compile(r"(?<=[!-~])(?= [!-~])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
@@ -55,6 +66,36 @@ def batches_by_bytes(parts: list[tuple[int, str]], size: int):
         yield batch
 
 
+class PartCounts:
+    """Token counts of texts as sums over their parts at `WORDS`; `encode` gives the counts of a list of texts."""
+
+    def __init__(self, encode, added: list[str]):
+        self.encode, self.added, self.known = encode, added, {}
+
+    def whole(self, text: str) -> int:
+        return sum(sum(self.encode([piece])) for piece in pieces(text, PIECE_CHARS))
+
+    def learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), ENCODED_PARTS):
+            some = parts[at:at + ENCODED_PARTS]
+            self.known.update(zip(some, self.encode(some)))
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        cut = [None if any(token in text for token in self.added) else WORDS.findall(text) for text in texts]
+        parts = set().union(*filter(None, cut))
+        if len(self.known) + len(parts) > KNOWN_PARTS:
+            self.known = {}
+        missing = parts.difference(self.known)
+        long = [part for part in missing if len(part) > KNOWN_CHARS]
+        self.learn([part for part in missing if len(part) <= KNOWN_CHARS])
+        self.known.update((part, self.whole(part)) for part in long)
+        length = self.known.__getitem__
+        counts = [self.whole(text) if words is None else sum(map(length, words)) for text, words in zip(texts, cut)]
+        for part in long:
+            del self.known[part]
+        return counts
+
+
 def _encoder(kind: str, content: bytes):
     """A function from texts to their token counts."""
     if kind == "json":
@@ -64,13 +105,22 @@ def _encoder(kind: str, content: bytes):
         tokenizer = Tokenizer.from_str(content.decode("utf-8"))
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_proto=content)
     return lambda texts: [len(ids) for ids in processor.encode(texts, num_threads=1)]
 
 
+@lru_cache(maxsize=1)
+def _counter(kind: str, content: bytes):
+    """The encoder of a vocabulary, by parts where that is exact; a worker makes it once."""
+    model = json.loads(content) if kind == "json" else {}
+    if kind == "json" and can_split(model):
+        return PartCounts(_encoder(kind, content), [token["content"] for token in model.get("added_tokens") or []])
+    return _encoder(kind, content)
+
+
 def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit. `vocabulary` is a .json or .model file on the driver.
 
@@ -81,13 +131,12 @@ def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
     with open(vocabulary, "rb") as file:
         content = file.read()
     kind = "json" if vocabulary.endswith(".json") else "model"
-    split = kind == "json" and can_split(json.loads(content))
 
     def count(batches):
-        encode = _encoder(kind, content)
+        encode = _counter(kind, content)
         for batch in batches:
             texts = batch.column("text_").to_pylist()
-            parts = [(row, part) for row, whole in enumerate(texts) if whole for part in (pieces(whole, PIECE_CHARS) if split else [whole])]
+            parts = [(row, whole) for row, whole in enumerate(texts) if whole]
             counts = [0] * len(texts)
             for group in batches_by_bytes(parts, BATCH_BYTES):
                 for (row, _), n in zip(group, encode([part for _, part in group])):
