@@ -103,3 +103,28 @@ def test_quality_bits_and_routing(spark):
     assert good[4].qc_bits == sum(Q[k] for k in ("heading_out_of_domain", "nonfinite_age", "missing_observation_fields", "timestamp_decrease", "range_geometry_inconsistent", "bearing_geometry_inconsistent"))
     assert good[4].parse_quality_bits == K.PARSE_BITS["nonfinite_numeric_token"] + K.PARSE_BITS["invalid_boolean_token"]
     assert good[5].qc_bits == sum(Q[k] for k in ("longitude_out_of_domain", "missing_age", "missing_observation_fields", "range_geometry_skipped", "bearing_geometry_skipped"))
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark):
+    """One file of many rows is shared over more tasks than there are cores."""
+    from tracklens.sources.tables import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(cores * 100).coalesce(1)
+    shared = spread(one, 50)
+    assert shared.rdd.getNumPartitions() == 2 * cores and shared.count() == cores * 100
+    assert max(len(part) for part in shared.rdd.glom().collect()) <= 60
+    assert spread(one, cores * 1000).rdd.getNumPartitions() == cores
+
+
+def test_generated_parser_stays_short(spark):
+    """No method of the number parser passes 8,000 bytes of code, from where the JIT compiler leaves it alone."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    raw = spark.range(1).select(*[F.col("id").cast("string").alias(f) for f in K.NUMERIC_FIELDS])
+    text.with_numbers(raw, K.NUMERIC_FIELDS).createOrReplaceTempView("numbers_")
+    plan = spark.sql("EXPLAIN CODEGEN SELECT * FROM numbers_").first()[0]
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) < 8000

@@ -30,23 +30,25 @@ def parse_text(value: Column) -> Column:
 def with_numbers(df: DataFrame, fields: tuple[str, ...], error: str = "_e", value: str = "_v") -> DataFrame:
     """Add a finite number and an error code per text field, in steps so each token is parsed once.
 
-    A permissive cast alone would accept suffixes such as '1d', so the shape is tested first.
+    A permissive cast alone would accept suffixes such as '1d', so the shape is tested first. All fields go through one
+    expression as an array: written out per field, the generated method is too long for the JIT compiler.
     """
-    tokens = df.withColumns({f"{f}_t": F.lower(stripped(F.col(f))) for f in fields})
-    numbers = tokens.withColumns({
-        f"{f}_n": F.when(F.col(f"{f}_t").rlike(NUMBER), F.regexp_replace(f"{f}_t", "_", "").try_cast("double"))
-        for f in fields
-    })
-    result = {}
-    for f in fields:
-        token, number = F.col(f"{f}_t"), F.col(f"{f}_n")
-        result[f + value] = F.when(F.abs(number) < float("inf"), number)
-        result[f + error] = (
+    def number(token: Column) -> Column:
+        return F.when(token.rlike(NUMBER), F.regexp_replace(token, "_", "").try_cast("double"))
+
+    def judged(token: Column, value_: Column) -> Column:
+        code = (
             F.when(token.isNull() | token.isin(*K.MISSING_TOKENS), F.lit(None).cast("string"))
-            .when((F.abs(number) == float("inf")) | (number.isNull() & token.rlike(NONFINITE)), "nonfinite_float")
-            .when(number.isNull(), "invalid_float")
+            .when((F.abs(value_) == float("inf")) | (value_.isNull() & token.rlike(NONFINITE)), "nonfinite_float")
+            .when(value_.isNull(), "invalid_float")
         )
-    return numbers.withColumns(result).drop(*[f"{f}_{x}" for f in fields for x in "tn"])
+        return F.struct(F.when(F.abs(value_) < float("inf"), value_).alias("v"), code.alias("e"))
+
+    tokens = df.withColumn("t_", F.transform(F.array(*fields), lambda raw: F.lower(stripped(raw))))
+    numbers = tokens.withColumn("n_", F.transform("t_", number))
+    parsed = numbers.withColumn("j_", F.zip_with("t_", "n_", judged))
+    each = {f + suffix: F.col("j_")[i][part] for i, f in enumerate(fields) for suffix, part in ((value, "v"), (error, "e"))}
+    return parsed.withColumns(each).drop("t_", "n_", "j_")
 
 
 def parse_bool(value: Column) -> Column:
