@@ -10,15 +10,16 @@ Texts are linked at Jaccard >= 4/5 of their word 5-shingles. Candidates come fro
   texts come last in it, so few texts meet.
 
 Every candidate is checked. A parity bitmap of the shingles gives a lower bound of the symmetric difference, so most pairs below 4/5 end
-there; whole shingle sets are compared for the others only. Texts are first compared to the shortest of those that they meet, which is linear; texts
-that are connected by then are done. Pairs of different components that still share a prefix shingle come second. A crowd of texts that share
-prefixes but stay below the bound is compared pair by pair.
+there; whole shingle sets are compared for the others only. A text first meets the `STARS` of the shortest texts of its groups with which it shares
+most prefix shingles, which is linear; texts that are connected by then are done. Pairs of different components that still share a prefix shingle come
+second: bitmaps of `SKETCH_BITS` are compared in the task that holds their group, and only pairs that these leave possible become rows. A crowd of
+texts that share prefixes but stay below the bound is compared pair by pair there.
 
 Nulls: a null or empty text has no shingles and equals others of that kind; a text under five words is one shingle. Texts with equal sets
 are one point, named by a 64-bit hash. A null doc_id is never the smallest of a class unless all are null. Repeated rows give one row.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracklens.llm.common import ROW, field_of, join_on_group, packed, text_of, unpacked
 from tracklens.llm.exact_dedup import flag_repeated, repeated_filter
@@ -33,6 +34,8 @@ FREQUENT = 200_000
 LEAST_ROWS = 50_000
 CHUNK = 1 << 20
 PARITY_BITS = 512  # of the narrowest bitmap
+SKETCH_BITS = 1024  # of the bitmap that travels with a text's shared prefix shingles
+STARS = 2
 
 
 def shingle_set(text: str):
@@ -79,9 +82,14 @@ def _parity(distinct):
     """
     import numpy as np
 
-    width = max(PARITY_BITS, 1 << max(len(distinct) - 1, 0).bit_length())
+    return _odd(distinct, max(PARITY_BITS, 1 << max(len(distinct) - 1, 0).bit_length())).view(np.int64)
+
+
+def _odd(distinct, width: int):
+    import numpy as np
+
     odd = np.bincount((distinct & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+    return np.packbits(odd.astype(bool), bitorder="little")
 
 
 def _node(shingles) -> int:
@@ -118,7 +126,7 @@ def _hashed(df: DataFrame, schema: str, made) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], *names])
 
     names, kinds = zip(*(c.split() for c in schema.split(", ")))
-    types = [pa.list_(pa.int64()) if k.startswith("array") else pa.int64() for k in kinds]
+    types = [pa.list_(pa.int64()) if k.startswith("array") else pa.binary() if k == "binary" else pa.int64() for k in kinds]
     kept = df.drop("text_").schema
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), schema]))
 
@@ -186,7 +194,7 @@ def _shared(tokens, sizes, nodes):
 
 
 def _stars(tokens, sizes, nodes):
-    """Pairs of each node and the shortest one of its group that it can be linked to by size."""
+    """Pairs of the shortest node of a group that a node can be linked to by size, and that node."""
     import numpy as np
 
     start = np.searchsorted(tokens, tokens)
@@ -194,13 +202,13 @@ def _stars(tokens, sizes, nodes):
     while len(rows):
         near = sizes[start] * OF >= sizes[rows] * SHARE
         a, b = nodes[start[near]], nodes[rows[near]]
-        yield np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        yield a[a != b], b[a != b]
         rows = rows[~near]
         start = rows[np.searchsorted(tokens[rows], tokens[rows])]
 
 
-def _crossing(tokens, sizes, nodes, roots):
-    """All pairs of a group that sizes allow and whose components differ."""
+def _crossing(tokens, sizes, nodes, roots, sketches):
+    """All pairs of a group that sizes and bitmaps allow and whose components differ."""
     import numpy as np
 
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
@@ -209,8 +217,11 @@ def _crossing(tokens, sizes, nodes, roots):
     left, right, held = [], [], 0
     for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
         until = s + np.searchsorted(sizes[s:e] * SHARE, sizes[s:e] * OF, side="right")
+        bits = np.frombuffer(b"".join(sketches[s:e]), np.uint64).reshape(e - s, -1)
         for i in range(s, e - 1):
-            other = nodes[i + 1:until[i - s]][roots[i + 1:until[i - s]] != roots[i]]
+            at = np.flatnonzero(roots[i + 1:until[i - s]] != roots[i]) + i + 1
+            apart = np.bitwise_count(bits[at - s] ^ bits[i - s]).sum(axis=1, dtype=np.int64)
+            other = nodes[at[apart * (OF + SHARE) <= (sizes[at] + sizes[i]) * (OF - SHARE)]]
             if len(other):
                 left.append(np.minimum(other, nodes[i]))
                 right.append(np.maximum(other, nodes[i]))
@@ -305,21 +316,25 @@ def _print(shingles, frequent, rank):
     import numpy as np
 
     distinct = np.unique(shingles)
-    return _node(distinct), len(distinct), _fingerprint(shingles), _parity(distinct), _signed(_prefix(distinct, frequent, rank))
+    return _node(distinct), len(distinct), _fingerprint(shingles), _parity(distinct), _odd(distinct, SKETCH_BITS).tobytes(), _signed(_prefix(distinct, frequent, rank))
 
 
 def similar_classes(texts: DataFrame) -> DataFrame:
     """Staged rows id_, mark_, root_ of `texts` (id_, mark_, text_): equal roots are connected by links at or above the bound."""
     frequent, rank = _frequent(texts)
-    prints = stage_table(_hashed(texts, "node_ long, size_ long, fp_ long, bits_ array<long>, prefix_ array<long>", lambda s: _print(s, frequent, rank)), "prints")
+    prints = stage_table(_hashed(texts, "node_ long, size_ long, fp_ long, bits_ array<long>, sketch_ binary, prefix_ array<long>", lambda s: _print(s, frequent, rank)), "prints")
     candidates = _fingerprint_pairs(prints)
     tokens = prints.select(F.explode("prefix_").alias("token_"), "size_", "node_")
     shared = stage_table(_by_token(tokens, "token_ long, size_ long, node_ long", _shared), "shared")
-    stars = stage_table(_by_token(shared, "a_ long, b_ long", _stars).unionByName(candidates).distinct(), "stars")
+    met = _by_token(shared, "a_ long, b_ long", _stars).groupBy("b_", "a_").agg(F.count(F.lit(1)).alias("n_"))
+    most = Window.partitionBy("b_").orderBy(F.desc("n_"), "a_")
+    chosen = met.withColumn("at_", F.row_number().over(most)).filter(F.col("at_") <= STARS).select(F.least("a_", "b_").alias("a_"), F.greatest("a_", "b_").alias("b_"))
+    stars = stage_table(chosen.unionByName(candidates).distinct(), "stars")
     links = _checked(stars, texts, prints)
     roots = stage_table(components(links), "roots")
     known = roots.select(F.col("node_").alias("known_"), "root_")
-    rooted = shared.join(known, F.col("node_") == F.col("known_"), "left").select("token_", "size_", "node_", F.coalesce("root_", "node_").alias("root_"))
+    sketches = prints.groupBy(F.col("node_").alias("known_")).agg(F.first("sketch_").alias("sketch_")).join(known, "known_", "left")
+    rooted = shared.join(sketches, F.col("node_") == F.col("known_")).select("token_", "size_", "node_", F.coalesce("root_", "node_").alias("root_"), "sketch_")
     rest = stage_table(_by_token(rooted, "a_ long, b_ long", _crossing).distinct().join(stars, ["a_", "b_"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(_checked(rest, texts, prints))
