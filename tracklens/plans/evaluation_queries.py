@@ -109,7 +109,7 @@ SELECT g.airport, g.horizon, g.bin, coalesce(n, 0) AS n, coalesce(n_groups, 0) A
 def agg_39_nb2_loss(spark, folder):
     rows = _pred(spark, folder)
     fit = ev.nb2_dispersion(rows, ["airport"], "y", "count_a")
-    scored = rows.join(fit, "airport")
+    scored = rows.join(F.broadcast(fit), "airport")  # one row an airport; a join by airport would deal all rows to as many tasks
     return _r(scored.groupBy("airport", "horizon").agg(
         F.max("dispersion").alias("fitted_dispersion"), F.avg(st.nb2_nll(F.col("y"), F.col("count_a"), F.col("dispersion"))).alias("nb2_nll"),
         F.avg(st.poisson_nll(F.col("y"), F.col("count_a"))).alias("poisson_nll")), 6, "fitted_dispersion", "nb2_nll", "poisson_nll")
