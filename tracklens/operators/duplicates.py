@@ -120,7 +120,8 @@ def _level(groups: DataFrame, kind: str, span: bool, **measures: Column) -> Data
     ]
     named = [c.alias(a) for c, a in zip(spans, ("span_count", "span_min_s", "span_max_s", "span_sum_s"))]
     return groups.groupBy("airport_id").agg(
-        F.lit(kind).alias("record_type"), *[values.get(m, F.lit(0)).cast("long").alias(m) for m in _MEASURES], *named
+        F.lit(kind).alias("record_type"), *[values.get(m, F.lit(0)).cast("long").alias(m) for m in _MEASURES], *named,
+        F.sum(F.when(F.col("crossing"), n).otherwise(0)).cast("long").alias("crossing_rows_"),
     )
 
 
@@ -134,21 +135,26 @@ def duplicate_summary(rows: DataFrame, order: list[str], block: Column) -> DataF
         "excess_rows": F.sum(n - 1),
     }
     rep = {"repeat_groups": F.count_if(more), "repeat_rows": F.sum(F.when(more, n).otherwise(0))}
-    crossing = reduce(lambda a, b: a.unionByName(b), [
-        g.filter("crossing").select("airport_id", "n", F.lit(False).alias("crossing")) for g in (by_time, exact, states, runs)
-    ])
-    every = rows.select("airport_id").distinct()
-    boundary = _level(every.join(crossing, "airport_id", "left").fillna(0, ["n"]), "boundary_crossing", False, total_groups=F.count_if(n > 0),
-                      file_boundary_crossing_groups=F.lit(0))
     levels = [
         _level(by_time, "id_timestamp", False, **dup, identical_state_groups=F.count_if(more & ~F.col("conflict")),
                conflicting_state_groups=F.count_if(more & F.col("conflict"))),
         _level(exact, "exact_report", False, **dup),
         _level(states, "full_state", True, **rep, excess_rows=F.sum(n - 1)),
         _level(runs, "contiguous_state_run", True, **rep),
-        boundary,
     ]
-    return reduce(lambda a, b: a.unionByName(b), levels)
+    crossed = {"file_boundary_crossing_groups": "total_groups", "crossing_rows_": "total_rows"}
+    every = reduce(lambda a, b: a.unionByName(b), levels)
+    # A level's crossing groups come with its own totals, so no group is made a second time for the boundary record.
+    kinds = F.array(F.lit("own"), F.lit("boundary_crossing"))
+    shown = every.withColumn("kind_", F.explode(kinds))
+    own = F.col("kind_") == "own"
+    spans = {"span_min_s": F.min, "span_max_s": F.max}
+    return shown.groupBy("airport_id", F.when(own, F.col("record_type")).otherwise(F.col("kind_")).alias("record_type")).agg(
+        *[F.sum(F.when(own, F.col(m)).otherwise(F.col({v: k for k, v in crossed.items()}.get(m)) if m in crossed.values() else F.lit(0))).cast("long").alias(m) for m in _MEASURES],
+        F.sum(F.when(own, F.col("span_count")).otherwise(0)).cast("long").alias("span_count"),
+        *[f(F.when(own, F.col(c))).alias(c) for c, f in spans.items()],
+        F.sum(F.when(own, F.col("span_sum_s")).otherwise(0.0)).alias("span_sum_s"),
+    )
 
 
 def age_repeat_cube(runs: DataFrame) -> DataFrame:
