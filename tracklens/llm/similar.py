@@ -11,9 +11,10 @@ Texts are linked at Jaccard >= 4/5 of their word 5-shingles. Candidates come fro
 
 Every candidate is checked. A parity bitmap of the shingles gives a lower bound of the symmetric difference, so most pairs below 4/5 end
 there; whole shingle sets are compared for the others only. A text first meets the `STARS` of the shortest texts of its groups with which it shares
-most prefix shingles, which is linear; texts that are connected by then are done. Pairs of different components that still share a prefix shingle come
-second: bitmaps of `SKETCH_BITS` are compared in the task that holds their group, and only pairs that these leave possible become rows. A crowd of
-texts that share prefixes but stay below the bound is compared pair by pair there.
+most prefix shingles, which is linear; texts that are connected by then are done. Groups of a prefix shingle that hold several components come
+second: bitmaps of `SKETCH_BITS` are compared in the task that holds the group, and each text goes on with the nearest one of another component only.
+This is repeated while it finds links. In the end all pairs of different components that bitmaps leave possible become rows. A crowd of
+texts that share prefixes but stay below the bound is compared pair by pair in the tasks. Shingles held by the same texts are one group.
 
 Nulls: a null or empty text has no shingles and equals others of that kind; a text under five words is one shingle. Texts with equal sets
 are one point, named by a 64-bit hash. A null doc_id is never the smallest of a class unless all are null. Repeated rows give one row.
@@ -182,55 +183,106 @@ def _by_token(rows: DataFrame, schema: str, made) -> DataFrame:
     return rows.repartition("token_").sortWithinPartitions(*names[:3]).mapInArrow(run, schema)
 
 
+def _starts(tokens):
+    import numpy as np
+
+    return np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+
+
 def _shared(tokens, sizes, nodes):
-    """Rows of groups with several nodes, each node once."""
+    """Rows of groups with several nodes, each node once, under a hash of the group's nodes: equal groups get one name, so they can be made one."""
     import numpy as np
+    import xxhash
 
     fresh = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])))
     tokens, sizes, nodes = tokens[fresh], sizes[fresh], nodes[fresh]
     same = tokens[1:] == tokens[:-1]
     several = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    yield tokens[several], sizes[several], nodes[several]
+    tokens, sizes, nodes = tokens[several], sizes[several], nodes[several]
+    if not len(tokens):
+        return
+    starts = _starts(tokens)
+    lengths = np.diff(np.append(starts, len(tokens)))
+    names = [xxhash.xxh64_intdigest(nodes[s:s + n].tobytes()) - (1 << 63) for s, n in zip(starts.tolist(), lengths.tolist())]
+    yield np.repeat(np.array(names, np.int64), lengths), sizes, nodes
 
 
-def _stars(tokens, sizes, nodes):
-    """Pairs of the shortest node of a group that a node can be linked to by size, and that node."""
+def _stars(tokens, sizes, nodes, weights):
+    """Pairs of the shortest node of a group that a node can be linked to by size, and that node, with the group's weight."""
     import numpy as np
 
     start = np.searchsorted(tokens, tokens)
     rows = np.arange(len(tokens))
     while len(rows):
         near = sizes[start] * OF >= sizes[rows] * SHARE
-        a, b = nodes[start[near]], nodes[rows[near]]
-        yield a[a != b], b[a != b]
+        a, b, n = nodes[start[near]], nodes[rows[near]], weights[rows[near]]
+        yield a[a != b], b[a != b], n[a != b]
         rows = rows[~near]
         start = rows[np.searchsorted(tokens[rows], tokens[rows])]
 
 
-def _crossing(tokens, sizes, nodes, roots, sketches):
-    """All pairs of a group that sizes and bitmaps allow and whose components differ."""
+def _mixed(tokens, sizes, nodes, roots):
+    """Rows of groups whose nodes belong to several components."""
     import numpy as np
 
-    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    mixed = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
-    ends = np.append(starts[1:], len(tokens))
-    left, right, held = [], [], 0
-    for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+    starts = _starts(tokens)
+    apart = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
+    kept = np.repeat(apart, np.diff(np.append(starts, len(tokens))))
+    yield tokens[kept], sizes[kept], nodes[kept], roots[kept]
+
+
+def _possible(tokens, sizes, nodes, roots, sketches):
+    """For each node of each group the rows after it, in order of size, that size and bitmap allow and whose component differs: row, rows, bits that differ."""
+    import numpy as np
+
+    starts = _starts(tokens)
+    for s, e in zip(starts.tolist(), np.append(starts[1:], len(tokens)).tolist()):
         until = s + np.searchsorted(sizes[s:e] * SHARE, sizes[s:e] * OF, side="right")
         bits = np.frombuffer(b"".join(sketches[s:e]), np.uint64).reshape(e - s, -1)
         for i in range(s, e - 1):
             at = np.flatnonzero(roots[i + 1:until[i - s]] != roots[i]) + i + 1
             apart = np.bitwise_count(bits[at - s] ^ bits[i - s]).sum(axis=1, dtype=np.int64)
-            other = nodes[at[apart * (OF + SHARE) <= (sizes[at] + sizes[i]) * (OF - SHARE)]]
-            if len(other):
-                left.append(np.minimum(other, nodes[i]))
-                right.append(np.maximum(other, nodes[i]))
-                held += len(other)
+            fits = apart * (OF + SHARE) <= (sizes[at] + sizes[i]) * (OF - SHARE)
+            if fits.any():
+                yield i, at[fits], apart[fits]
+
+
+def _nearest(tokens, sizes, nodes, roots, sketches):
+    """Each node that has possible partners in other components of its group with the nearest of them by bitmap, and their distance."""
+    import numpy as np
+
+    least, partner = np.full(len(tokens), np.iinfo(np.int64).max), np.full(len(tokens), -1)
+    for i, at, apart in _possible(tokens, sizes, nodes, roots, sketches):
+        closer = apart < least[at]
+        least[at[closer]], partner[at[closer]] = apart[closer], i
+        best = int(np.argmin(apart))
+        if apart[best] < least[i]:
+            least[i], partner[i] = apart[best], at[best]
+    met = np.flatnonzero(partner >= 0)
+    order = met[np.lexsort((nodes[partner[met]], least[met], nodes[met]))]  # a node once a batch
+    order = order[np.concatenate(([True], nodes[order[1:]] != nodes[order[:-1]]))] if len(order) else order
+    yield nodes[order], nodes[partner[order]], least[order]
+
+
+def _crossing(tokens, sizes, nodes, roots, sketches):
+    """All pairs of a group that sizes and bitmaps allow and whose components differ, a pair once a batch."""
+    import numpy as np
+
+    left, right, held = [], [], 0
+
+    def told():
+        pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right))), axis=1)
+        return pairs[0], pairs[1]
+
+    for i, at, _ in _possible(tokens, sizes, nodes, roots, sketches):
+        left.append(np.minimum(nodes[at], nodes[i]))
+        right.append(np.maximum(nodes[at], nodes[i]))
+        held += len(at)
         if held > CHUNK:
-            yield np.concatenate(left), np.concatenate(right)
+            yield told()
             left, right, held = [], [], 0
     if held:
-        yield np.concatenate(left), np.concatenate(right)
+        yield told()
 
 
 def _with_both(pairs: DataFrame, facts: DataFrame, values: list[str]) -> DataFrame:
@@ -312,6 +364,14 @@ def _fingerprint_pairs(prints: DataFrame) -> DataFrame:
     return stage_table(same.unionByName(across).filter("a_ <> b_").distinct(), "candidates")
 
 
+def _open_groups(shared: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame:
+    """Staged rows token_, size_, node_, root_, sketch_ of the groups whose nodes belong to several components."""
+    rooted = shared.join(roots.select("node_", "root_"), "node_", "left").select("token_", "size_", "node_", F.coalesce("root_", "node_").alias("root_"))
+    mixed = stage_table(_by_token(rooted, "token_ long, size_ long, node_ long, root_ long", _mixed), "mixed")
+    sketches = prints.select("node_", "sketch_").join(mixed.select("node_").distinct(), "node_", "left_semi").groupBy("node_").agg(F.first("sketch_").alias("sketch_"))
+    return stage_table(mixed.join(sketches, "node_").select("token_", "size_", "node_", "root_", "sketch_"), "open_groups")
+
+
 def _print(shingles, frequent, rank):
     import numpy as np
 
@@ -325,17 +385,28 @@ def similar_classes(texts: DataFrame) -> DataFrame:
     prints = stage_table(_hashed(texts, "node_ long, size_ long, fp_ long, bits_ array<long>, sketch_ binary, prefix_ array<long>", lambda s: _print(s, frequent, rank)), "prints")
     candidates = _fingerprint_pairs(prints)
     tokens = prints.select(F.explode("prefix_").alias("token_"), "size_", "node_")
-    shared = stage_table(_by_token(tokens, "token_ long, size_ long, node_ long", _shared), "shared")
-    met = _by_token(shared, "a_ long, b_ long", _stars).groupBy("b_", "a_").agg(F.count(F.lit(1)).alias("n_"))
+    named = _by_token(tokens, "token_ long, size_ long, node_ long", _shared)
+    shared = stage_table(named.groupBy("token_", "size_", "node_").agg(F.count(F.lit(1)).alias("weight_")), "shared")
+    met = _by_token(shared, "a_ long, b_ long, n_ long", _stars).groupBy("b_", "a_").agg(F.sum("n_").alias("n_"))
     most = Window.partitionBy("b_").orderBy(F.desc("n_"), "a_")
     chosen = met.withColumn("at_", F.row_number().over(most)).filter(F.col("at_") <= STARS).select(F.least("a_", "b_").alias("a_"), F.greatest("a_", "b_").alias("b_"))
-    stars = stage_table(chosen.unionByName(candidates).distinct(), "stars")
-    links = _checked(stars, texts, prints)
+    tried = stage_table(chosen.unionByName(candidates).distinct(), "stars")
+    links = _checked(tried, texts, prints)
     roots = stage_table(components(links), "roots")
-    known = roots.select(F.col("node_").alias("known_"), "root_")
-    sketches = prints.groupBy(F.col("node_").alias("known_")).agg(F.first("sketch_").alias("sketch_")).join(known, "known_", "left")
-    rooted = shared.join(sketches, F.col("node_") == F.col("known_")).select("token_", "size_", "node_", F.coalesce("root_", "node_").alias("root_"), "sketch_")
-    rest = stage_table(_by_token(rooted, "a_ long, b_ long", _crossing).distinct().join(stars, ["a_", "b_"], "left_anti"), "rest")
+    while True:
+        open_ = _open_groups(shared, roots, prints)
+        near = _by_token(open_, "b_ long, a_ long, apart_ long", _nearest).groupBy("b_").agg(F.min_by("a_", F.struct("apart_", "a_")).alias("a_"))
+        pairs = near.select(F.least("a_", "b_").alias("a_"), F.greatest("a_", "b_").alias("b_")).distinct()
+        fresh = stage_table(pairs.join(tried, ["a_", "b_"], "left_anti"), "nearest")
+        if fresh.isEmpty():
+            break
+        tried = tried.unionByName(fresh)
+        found = _linked(_near(fresh, prints).select("a_", "b_"), texts, prints)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        roots = stage_table(components(links), "roots")
+    rest = stage_table(_by_token(open_, "a_ long, b_ long", _crossing).distinct().join(tried, ["a_", "b_"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(_checked(rest, texts, prints))
         roots = stage_table(components(links), "roots")
