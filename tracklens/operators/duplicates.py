@@ -2,9 +2,9 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracklens.operators.ordered import blocked_lag, blocked_running_sum
+from tracklens.operators.ordered import blocked_lag
 
 KEY = ["airport_id", "aircraft_id"]
 STATE = ["lat", "lon", "altitude", "speed", "heading"]
@@ -60,35 +60,70 @@ def full_state_groups(rows: DataFrame) -> DataFrame:
     )
 
 
+def _run_numbers(marked: DataFrame, ordering: list[str]) -> DataFrame:
+    """Add to each row its 1-based run and place in the aircraft's rows, `run_no` and `place`, the time of the next row, `next_us`, whether there is none, `ends`, and two marks.
+
+    `new_time` is 1 where the row before it in its run has another time, or there is none; `new_file` is 1 where that row is of another file.
+    Rows are shuffled once, by blocks `blk`. Inside a block only its first row does not know what precedes it; one summary row a
+    block tells that, and how many runs and rows come before.
+    """
+    inside = Window.partitionBy(*KEY, "blk").orderBy(*ordering)
+    values = F.struct(*STATE, "timestamp_us", "source_file_id")
+
+    def follows(before: str, row: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"{before}.{c}").eqNullSafe(F.col(f"{row}{c}")) for c in STATE])
+
+    def marks(start: Column, before: str, row: str) -> list[Column]:
+        other_time = F.col(f"{before}.timestamp_us") != F.col(f"{row}timestamp_us")
+        return [start, start | other_time, ~start & ~F.col(f"{before}.source_file_id").eqNullSafe(F.col(f"{row}source_file_id"))]
+
+    lagged = marked.withColumn("lag_", F.lag(values).over(inside)).withColumn("row_", F.row_number().over(inside).cast("long"))
+    lagged = lagged.withColumns({"next_": F.lead("timestamp_us").over(inside), "final_": F.lead(F.lit(True)).over(inside).isNull()})
+    first = F.col("lag_").isNull()
+    own = [F.when(~first, m) for m in marks(~follows("lag_", ""), "lag_", "")]
+    flagged = lagged.withColumns(dict(zip(("starts_", "time_", "file_"), own)))
+    local = flagged.withColumn("run_", F.sum(F.coalesce(F.col("starts_").cast("long"), F.lit(0))).over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("lag_")
+    blocks = local.groupBy(*KEY, "blk").agg(
+        F.min_by(values, "row_").alias("head_"), F.max_by(values, "row_").alias("tail_"), F.max("run_").alias("runs_"), F.count(F.lit(1)).alias("rows_"),
+    )
+    along = Window.partitionBy(*KEY).orderBy("blk")
+    carried = blocks.withColumn("carry_", F.lag("tail_").over(along))
+    start = F.col("carry_").isNull() | ~follows("carry_", "head_.")
+    told = carried.withColumns(dict(zip(("start_", "new_time_", "new_file_"), marks(start, "carry_", "head_."))))
+    until = along.rowsBetween(Window.unboundedPreceding, 0)
+    facts = told.select(
+        *KEY, "blk", (F.sum(F.col("runs_") + F.col("start_").cast("long")).over(until) - F.col("runs_")).alias("runs_before_"),
+        (F.sum("rows_").over(until) - F.col("rows_")).alias("rows_before_"), "new_time_", "new_file_",
+        F.lead("head_.timestamp_us").over(along).alias("next_us_"), F.lead(F.lit(True)).over(along).isNull().alias("ends_"),
+    )
+    return local.join(facts, [*KEY, "blk"], "left").select(
+        *marked.columns, (F.col("run_") + F.coalesce("runs_before_", F.lit(1))).alias("run_no"), (F.col("row_") + F.coalesce("rows_before_", F.lit(0))).alias("place"),
+        F.coalesce("time_", "new_time_").cast("long").alias("new_time"), F.coalesce("file_", "new_file_").cast("long").alias("new_file"),
+        F.when(F.col("final_"), F.col("next_us_")).otherwise(F.col("next_")).alias("next_us"), (F.col("final_") & F.coalesce("ends_", F.lit(True))).alias("ends"),
+    )
+
+
 def state_runs(rows: DataFrame, order: list[str], block: Column) -> DataFrame:
     """Maximal stretches of one aircraft with an unchanged state, in (timestamp, order).
 
     An aircraft's rows are cut into blocks along its timeline, so a very busy one does not fall to one task.
     """
     ordering = ["timestamp_us", *order]
-    marked = rows.withColumn("blk", block)
-    lagged = blocked_lag(marked, KEY, "blk", ordering, [*STATE, "timestamp_us"])
-    same = reduce(lambda a, b: a & b, [F.col(f"prev.{c}").eqNullSafe(F.col(c)) for c in STATE])
-    starts = F.col("prev").isNull() | ~same
-    flagged = lagged.withColumn("starts", starts.cast("long")).withColumn(
-        "new_time", (starts | (F.col("prev.timestamp_us") != F.col("timestamp_us"))).cast("long")
-    ).drop("prev")
-    numbered = blocked_running_sum(flagged, KEY, "blk", ordering, "starts", "run_no")
+    numbered = _run_numbers(rows.withColumn("blk", F.coalesce(block, F.lit(-(1 << 62)))), ordering)
     age = _finite(F.col("age"))
-    position = F.struct(*ordering)
+    position = F.col("place")
     runs = numbered.groupBy(*KEY, (F.col("run_no") - 1).alias("run_ordinal")).agg(
         F.count(F.lit(1)).alias("n"), F.min("timestamp_us").alias("first_us"), F.max("timestamp_us").alias("last_us"),
-        F.sum("new_time").alias("distinct_timestamps"), _several("source_file_id").alias("crossing"),
+        F.sum("new_time").alias("distinct_timestamps"), (F.max("new_file") > 0).alias("crossing"),
         F.min(age).alias("age_min"), F.max(age).alias("age_max"), F.count(age).alias("ages"),
         F.min_by(age, F.when(age.isNotNull(), position)).alias("age_first"),
         F.max_by(age, F.when(age.isNotNull(), position)).alias("age_last"),
+        F.max("next_us").alias("next_us"), F.max("ends").alias("ends"),  # times never fall, so the greatest is that after the last row
         *[F.first(c).alias(c) for c in STATE],
     )
-    backwards = runs.withColumn("back_", -F.col("run_ordinal"))
-    linked = blocked_lag(backwards, KEY, F.floor(F.col("back_") / 65_536), ["back_"], ["first_us"], "next").drop("back_")
     relation = (
-        F.when(F.col("next").isNull(), "end_of_aircraft")
-        .when(F.col("next.first_us") == F.col("last_us"), "same_timestamp_update")
+        F.when(F.col("ends"), "end_of_aircraft")
+        .when(F.col("next_us") == F.col("last_us"), "same_timestamp_update")
         .otherwise("later_timestamp_update")
     )
     trend = (
@@ -96,10 +131,10 @@ def state_runs(rows: DataFrame, order: list[str], block: Column) -> DataFrame:
         .when(F.col("age_last") < F.col("age_first"), "decreasing").otherwise("unchanged")
     )
     return (
-        linked.withColumn("state_update_relationship", relation).withColumn("age_trend", trend)
+        runs.withColumn("state_update_relationship", relation).withColumn("age_trend", trend)
         .withColumn("duration_s", (F.col("last_us") - F.col("first_us")) / F.lit(1e6))
         .withColumn("age_delta_s", F.when(F.col("ages") >= 2, F.col("age_last") - F.col("age_first")))
-        .drop("next")
+        .drop("next_us", "ends")
     )
 
 
