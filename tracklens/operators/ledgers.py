@@ -113,6 +113,11 @@ def unique_reports(rows: DataFrame, rule: DuplicateRule) -> DataFrame:
     )
 
 
+def group_sizes(rows: DataFrame, rule: DuplicateRule) -> DataFrame:
+    """Each natural key with its number of copies, for callers that need no winner; the same groups as `unique_reports`."""
+    return rows.groupBy(*rule.keys).agg(F.count(F.lit(1)).alias("group_size"))
+
+
 def membership(rows: DataFrame, unique: DataFrame, rule: DuplicateRule) -> DataFrame:
     """Every input row with its rank in its group. Very large groups are ranked block by block."""
     keys = list(rule.keys)

@@ -147,7 +147,7 @@ ORACLE["agg_21_conservation"] = """SELECT unnest(['retained_except_parsed_or_bad
 
 
 def agg_21_excess_rows(spark, folder):
-    unique = _unique(spark, folder)
+    unique = L.group_sizes(lineitem_rows(spark, folder), RULE)
     return unique.agg(
         F.count(F.lit(1)).alias("unique_reports"), F.sum("group_size").alias("parsed_rows"),
         F.sum(F.col("group_size") - 1).alias("excess_rows"), F.count(F.when(F.col("group_size") > 1, 1)).alias("duplicate_groups"),
