@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tracklens.config import EVENT_CONFIG as CFG
 from tracklens.operators import near, targets as tg, ticks as tk
 from tracklens.plans import sql as S
+from tracklens.session import stage_table
 from tracklens.sources.tables import event_reports
 
 QUERIES: dict = {}
@@ -50,7 +51,7 @@ ORACLE["join_03_active_pairs"] = f"""WITH {S.PAIRS} SELECT airport_id, source_da
 
 
 def win_07_onset_targets(spark, folder):
-    labels = tg.scene_targets(_ticks(spark, folder), CFG, separations=False)
+    labels = tg.scene_targets(stage_table(_ticks(spark, folder), "ticks"), CFG, separations=False)
     return labels.select(*tk.TICK, "cutoff_us", "horizon_s", "n_aircraft", "cutoff_active", "legacy_events", "onset_events")
 
 
@@ -61,7 +62,7 @@ SELECT airport_id, source_day, k, cutoff_us, horizon_s, n_aircraft, CAST(cutoff_
 
 
 def win_08_min_separations(spark, folder):
-    labels = tg.scene_targets(_ticks(spark, folder), CFG)
+    labels = tg.scene_targets(stage_table(_ticks(spark, folder), "ticks"), CFG)
     return labels.select(
         *tk.TICK, "horizon_s", F.round("min_horizontal_m", 3).alias("min_horizontal_m"),
         F.round("min_vertical_m", 3).alias("min_vertical_m"),
@@ -74,7 +75,7 @@ SELECT airport_id, source_day, k, horizon_s, round(h_m, 3) AS min_horizontal_m,
 
 
 def agg_31_reconstruction(spark, folder):
-    return tg.reconstruction_summary(tg.scene_targets(_ticks(spark, folder), CFG, separations=False))
+    return tg.reconstruction_summary(tg.scene_targets(stage_table(_ticks(spark, folder), "ticks"), CFG, separations=False))
 
 
 QUERIES["agg_31_reconstruction"] = agg_31_reconstruction

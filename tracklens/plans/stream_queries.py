@@ -151,9 +151,9 @@ def label_inputs(spark, folder):
     """
     ticks = stage_table(tk.carry_forward(event_reports(spark, folder), CFG), "ticks")
     cutoffs = tk.eligible_cutoffs(ticks, CFG).select(*tk.TICK, F.col("cutoff_us").alias("timestamp_us"))
-    age = lambda c: F.expr(f"(t0_us + k * {CFG.step_us} - {c}) div {CFG.step_us}")
-    pairs = tg.active_pairs(ticks, CFG, previous=True).groupBy(*tk.TICK, "t0_us", age("older_us").alias("age"), age("older_prev").alias("age_prev")).agg(
-        F.max("older_us").alias("older_us"), F.max("older_prev").alias("older_prev"), F.count(F.lit(1)).alias("n"))
+    shown = lambda c: F.col("t0_us") + (F.col("k") - F.col(c)) * F.lit(CFG.step_us)
+    days = ticks.groupBy(*tk.DAY).agg(F.min("t0_us").alias("t0_us"))
+    pairs = tg.pair_ages(ticks, CFG).join(days, tk.DAY).withColumns({"older_us": shown("age"), "older_prev": shown("age_prev")})
     return {
         "cutoffs": stage_table(cutoffs, "cutoffs"),
         "pairs": stage_table(pairs.select(*tk.TICK, "older_us", "older_prev", "n", tk.tick_time(CFG).alias("timestamp_us")), "pairs"),
