@@ -36,7 +36,7 @@ def listed(spark, df, h, v):
 @pytest.mark.parametrize("tile", [P.TILE, 9])
 def test_counts_equal_listed_pairs(spark, monkeypatch, tile):
     monkeypatch.setattr(P.tiled, "__defaults__", (tile,))
-    monkeypatch.setattr(P.mapped, "__defaults__", (tile,))
+    monkeypatch.setattr(P.mapped, "__defaults__", (False, tile))
     df = ticks(spark).cache()
     settings = [(9260.0, 304.8), (5000.0, 700.0)]
     got = {}

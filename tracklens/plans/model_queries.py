@@ -35,7 +35,7 @@ B = A + ["current_active_pair_count_5nm_1000ft", "mean_pair_horizontal_distance_
 
 def _scenes(spark, folder):
     ticks = stage_table(tk.carry_forward(tk.finite_reports(event_reports(spark, folder)), CFG), "ticks")
-    ladder = ft.feature_ladder(ft.scene_aircraft(ticks, CFG), CFG)
+    ladder = ft.feature_ladder(ft.scene_aircraft(ticks, CFG), CFG, B)
     labels = tg.scene_targets(ticks, CFG, separations=False).filter("horizon_s = 120").select(*tk.TICK, "onset_events")
     rows = ladder.join(labels, tk.TICK).withColumn("risk", (F.col("onset_events") >= 20).cast("int"))
     return stage_table(rows.select("source_day", *[F.col(c).cast("double").alias(c) for c in B], "onset_events", "risk"), "scene-features")
